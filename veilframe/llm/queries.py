@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.llm import hmm
+from veilframe.llm.chains import passages
 from veilframe.llm.dac import token_files
 from veilframe.llm.decontam import benchmark_hits
 from veilframe.llm.jaccard import near_duplicates
+from veilframe.llm.langid import identify
 from veilframe.llm.packing import pack
+from veilframe.llm.pages import main_text
 from veilframe.llm.png import media_features
 from veilframe.llm.token_counts import token_counts
 
@@ -22,6 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op2_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), WORD_BPE, budget=2048)
 
@@ -30,10 +38,18 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), WORD_BPE, end_id=1)
 
 
+def op4_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), WORD_BPE, capacity=2048, end_id=0)
 
 
+def op6_hidden_markov_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, Jaccard of 0.9 or more."""
     return near_duplicates(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
@@ -48,6 +64,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return hits.drop("spans")
 
 
+def op10_consensus_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 _OP9_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
@@ -77,8 +97,9 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op2_prefix_token_counts, op3_token_files, op5_best_fit_packing, op7_ngram_jaccard_join, op8_media_columns,
-        op9_benchmark_decontamination,
+        op1_string_kernel_language, op2_prefix_token_counts, op3_token_files, op4_collinear_passages,
+        op5_best_fit_packing, op6_hidden_markov_score, op7_ngram_jaccard_join, op8_media_columns,
+        op9_benchmark_decontamination, op10_consensus_html_text,
     )
     return {f.__name__: f for f in own}
 
