@@ -68,6 +68,18 @@ class Model:
             held[i] = mark[self.slots]
         return held @ self.weights / np.sqrt(np.maximum(own, 1))[:, None]
 
+    def label(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """(language, score from 0 to 1) of each text."""
+        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        some = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
+        for k in range(0, len(some), BATCH):
+            rows = some[k : k + BATCH]
+            found = self.scores([texts[i] for i in rows])
+            for i, c in zip(rows, found.argmax(axis=1), strict=True):
+                names[i] = self.languages[c]
+            scores[rows] = np.clip((found.max(axis=1) + 1) / 2, 0, 1)
+        return names, scores
+
 
 def fit(texts: list[str], languages: list[str], landmarks: list[int]) -> Model:
     names = sorted(set(languages))
@@ -85,7 +97,6 @@ def fit(texts: list[str], languages: list[str], landmarks: list[int]) -> Model:
     kept = values > 1e-6 * values[-1]
     root = vectors[:, kept] / np.sqrt(values[kept])
     features = kernel @ root
-    features = np.hstack((features, np.zeros((len(features), 0))))
     targets = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     # one class weighs as much as the other in each one-versus-rest problem
     weights = np.empty((features.shape[1], len(names)))
@@ -124,26 +135,28 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: slots x languages
 
     def run(batches):
-        model = shared.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            some = [i for i, t in enumerate(texts) if t and model.languages and _LETTER.search(t)]
-            for k in range(0, len(some), BATCH):
-                rows = some[k : k + BATCH]
-                found = model.scores([texts[i] for i in rows])
-                best = found.argmax(axis=1)
-                for i, c in zip(rows, best, strict=True):
-                    names[i] = model.languages[c]
-                scores[rows] = np.clip((found.max(axis=1) + 1) / 2, 0, 1)
+            names, scores = shared.value.label(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"]
+                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"]
             )
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return base.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame) -> DataFrame:
+    """Rows of docs(doc_id, text, lang), all their columns, whose text has a language found by identify()."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+
+    def run(batches):
+        for batch in batches:
+            names, _ = shared.value.label(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text, lang): doc_id, held_out, lang_pred, score.
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+import corpus_pipeline
 from veilframe.llm import hmm
 from veilframe.llm.chains import passages
 from veilframe.llm.dac import token_files
@@ -18,8 +17,7 @@ from veilframe.llm.packing import pack
 from veilframe.llm.pages import main_text
 from veilframe.llm.png import media_features
 from veilframe.llm.token_counts import token_counts
-
-WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+from veilframe.llm.tokens import WORD_BPE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +66,10 @@ def op10_consensus_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _OP9_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
@@ -101,8 +103,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_best_fit_packing, op6_hidden_markov_score, op7_ngram_jaccard_join, op8_media_columns,
         op9_benchmark_decontamination, op10_consensus_html_text,
     )
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_benchmark_decontamination": _OP9_SQL}
+    own = {"op9_benchmark_decontamination": _OP9_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in own.items() if sql}

@@ -12,11 +12,15 @@ import json
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
 from veilframe.llm.common import CACHE_ENTRIES
 
+#: The default vocabulary; every operator takes the path as a parameter.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 #: Visible ASCII, and Latin letters that are their own composed form and lower-case to one character.
 _PLAIN = regex.compile("[!-~À-įı-ɏ]+")
 
