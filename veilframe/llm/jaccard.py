@@ -13,8 +13,9 @@ A document is the set of its distinct n-word shingles, kept as 64-bit hashes in
    walks it once, overlaps of a shared beginning are counted once, and subtrees whose remaining
    lengths cannot reach the required overlap are pruned.
 3. Rest. Only keys whose sets are not yet in one component go on: more stars, then block against
-   block of the key's remaining sets through the same tree. No pairs are emitted within a group;
-   links already implied by a component are skipped.
+   block of the remaining sets through the same tree. Sets that keys connect form a cluster and travel
+   to it once, however many keys they share; a cluster of more than CLUSTER_SETS is compared key by key
+   instead. No pairs are emitted within a group; links already implied by a component are skipped.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from veilframe.llm.graph import components
 
 #: Sets in one prefix tree.
 TREE_SETS = 256
+#: Sets that keys connect and that are compared as one cluster.
+CLUSTER_SETS = 4096
 #: Rounds of stars before the rest is joined block by block.
 STAR_ROUNDS = 2
 #: Ways to cut a set before its empty parts get keys.
@@ -278,7 +281,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
             break
     if rest:
         with small_batches(spark, TREE_SETS):
-            found = stored(_block_join(members, sets, num, den), "found")
+            found = stored(_block_join(_clustered(members), sets, num, den), "found")
         links = stored(links.union(found).distinct(), "links")
 
     labels = components(links)
@@ -325,6 +328,22 @@ def _unsettled(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, bool]:
     return out, not out.isEmpty()
 
 
+def _clustered(members: DataFrame) -> DataFrame:
+    """(key, id) with a cluster in place of its keys where the cluster is small enough."""
+    clusters = components(members.where("id <> probe").select(F.col("id").alias("u"), F.col("probe").alias("v")))
+    placed = stored(
+        members.select("key", "id")
+        .join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
+        .select("key", "id", "cluster"),
+        "clusters",
+    )
+    once = placed.select("cluster", "id").distinct()
+    small = once.groupBy("cluster").count().where(F.col("count") <= CLUSTER_SETS).select("cluster")
+    return once.join(small, "cluster").select(F.col("cluster").alias("key"), "id").union(
+        placed.join(small, "cluster", "left_anti").select("key", "id")
+    )
+
+
 def _block_join(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links among each key's sets, block against block; a block holds about TREE_SETS sets."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(TREE_SETS)).cast("int").alias("blocks"))
