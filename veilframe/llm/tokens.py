@@ -9,6 +9,8 @@ other scripts, control characters) goes to the whole library. All other files ta
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -50,23 +52,33 @@ class TextEncoder:
         if self.by_chunk:
             self.pattern = regex.compile(cut[0]["pattern"]["Regex"])
             self.alphabet = byte_alphabet()
+            # words and words with one mark need no pattern where the pattern keeps letters and marks apart
+            self.marks = frozenset(c for c in b",.;:!?" if self.pattern.findall(f"ab{chr(c)}") == ["ab", chr(c)])
             self.starts = tuple({t["content"][:2] for t in self.file.get("added_tokens", [])})
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        symbols = "".join([self.alphabet[b] for b in piece.encode()])
-        return np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
+        # visible ASCII stands for itself
+        symbols = piece if piece.isascii() else "".join([self.alphabet[b] for b in piece.encode()])
+        return _packed([t.id for t in self.model.tokenize(symbols)])
 
     def pieces_of(self, chunk: bytes) -> list[str] | None:
         """The pre-tokens of a plain chunk; None where only the whole library may cut it."""
         text = chunk.decode()
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.starts):
             return None
+        if self.marks and text.isalpha():
+            return [text.lower()]
         return self.pattern.findall(text.lower())
 
     def _chunk(self, chunk: bytes) -> bytes:
+        if self.marks:
+            if chunk.isalpha():
+                return self.pieces[chunk.decode().lower()]
+            if chunk[-1] in self.marks and chunk[:-1].isalpha():
+                return self.pieces[chunk[:-1].decode().lower()] + self.pieces[chr(chunk[-1])]
         pieces = self.pieces_of(chunk)
         if pieces is None:
             return self._whole(chunk.decode())
@@ -80,15 +92,29 @@ class TextEncoder:
         return self._whole(data.decode())
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Remembered(dict):
+    """Results in two generations: when the younger is full it becomes the older, so frequent keys stay."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
