@@ -3,11 +3,11 @@
 A document is the set of its distinct n-word shingles, kept as 64-bit hashes in one global
 (ascending) order. Three steps find every pair of different sets with Jaccard similarity >= t:
 
-1. Routing. Sets of a size bucket are cut at the same k points of the hash range. Two linked sets
-   differ in at most d elements, so of k = d + 1 + slack parts at least 1 + slack are identical in
-   both; each non-empty part is hashed to one key. A set with more empty parts than the slack is also
-   cut in other ways, at last with keys for its empty parts, so no link is lost. Equal sets are
-   collapsed beforehand and a key of one set alone is dropped.
+1. Routing. Sets of a size bucket are cut at the same points of the hash range. Two linked sets differ
+   in at most d elements, so of the first d + 1 non-empty parts of a set one at least is identical in
+   both; each of these parts is hashed to one key. A set with fewer non-empty parts is also cut in
+   other ways, at last with keys for its empty parts, so no link is lost. Equal sets are collapsed
+   beforehand, keys travel once, and a key of one set alone is dropped.
 2. Stars. The smallest id of a key is compared with the key's other sets, in bounded chunks: the
    chunk's sets are stored in a prefix tree (path-compressed, by their common beginnings), the probe
    walks it once, overlaps of a shared beginning are counted once, and subtrees whose remaining
@@ -33,6 +33,8 @@ from veilframe.llm.graph import components
 
 #: Sets in one prefix tree.
 TREE_SETS = 256
+#: Sets and bytes of elements in one block of a key's sets; a set travels once for each block of its key.
+BLOCK_SETS, BLOCK_BYTES = 1024, 8 << 20
 #: Sets that keys connect and that are compared as one cluster.
 CLUSTER_SETS = 4096
 #: Rounds of stars before the rest is joined block by block.
@@ -69,31 +71,40 @@ def buckets(size: int, num: int, den: int) -> Iterator[tuple[int, int]]:
         low, index = high + 1, index + 1
 
 
-def cut_count(high: int, num: int, den: int) -> tuple[int, int]:
-    """(parts, slack) for sets of at most so many elements: parts > largest difference + slack."""
-    most = 2 * high * (den - num) // (den + num)
-    slack = 0 if most == 0 else 3 + most // 4
-    return most + 1 + slack, slack
+def difference(size: int, other: int, num: int, den: int) -> int:
+    """Most elements in only one of two linked sets of these sizes."""
+    return (size + other) * (den - num) // (den + num)
+
+
+def cut_count(high: int, num: int, den: int) -> int:
+    """Parts for sets of at most so many elements: more than their largest difference, with some to spare."""
+    most = difference(high, high, num, den)
+    return most + 1 + (2 + most // 10 if most else 0)
 
 
 def routing_keys(elements: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys such that two sets with Jaccard >= num/den, 100 of one size or not, have one in common."""
+    """Keys such that two sets with Jaccard >= num/den, 100 of one size or not, have one in common.
+
+    A set needs keys for its first d + 1 non-empty parts only, d being its largest difference from a partner:
+    where the first of two linked sets reaches so many, at most d of them differ, and the other set,
+    which reaches its own number there or later, has a key for the part that is the same.
+    """
     out = []
     size = len(elements)
     for bucket, high in buckets(size, num, den):
-        parts, slack = cut_count(high, num, den)
+        parts, wanted = cut_count(high, num, den), difference(size, min(high, size * den // num), num, den) + 1
         for level in range(LEVELS + 1):
             cut = elements if level == 0 else np.sort(mix64(elements ^ np.uint64(0xA5A5 + level)))
             at = ((cut >> _BITS32) * np.uint64(parts)) >> _BITS32
             ends = np.cumsum(np.bincount(at.astype(np.int64), minlength=parts))
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(cut), dtype=np.uint64)))
             starts = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
-            full = ends > starts
+            full = np.flatnonzero(ends > starts)
             label = np.arange(parts, dtype=np.uint64) + np.uint64(((bucket * 64 + level) << 32) + 1)
             keys = mix64((sums[ends] - sums[starts]) ^ mix64(label))
-            few = int(parts - full.sum()) <= slack
-            out.append(keys if level == LEVELS and not few else keys[full])
-            if few:
+            enough = len(full) >= wanted
+            out.append(keys if level == LEVELS and not enough else keys[full[:wanted]])
+            if enough:
                 break
     return np.concatenate(out)
 
@@ -182,7 +193,10 @@ def _sets(n: int):
     def run(batches):
         for batch in batches:
             sets = [shingle_set(x, n).tobytes() for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "elements"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sets, pa.binary()), pa.array(map(len, sets), pa.int64())],
+                ["id", "elements", "n_bytes"],
+            )
 
     return run
 
@@ -256,13 +270,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     keys = prepared.join(is_rep, ["doc_id", "n_shingles", "s1", "s2"], "left_semi").select(
         F.explode("keys").alias("key"), F.col("doc_id").alias("id")
     )
+    keys = keys.repartition("key")  # one exchange serves the aggregate and the join
     shared = keys.groupBy("key").agg(F.min("id").alias("probe"), F.max("id").alias("last")).where("probe < last")
     members = stored(keys.join(shared.select("key", "probe"), "key"), "members")
 
     candidates = members.select("id").distinct()
     sets = stored(
         base.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(
-            _sets(n), "id long, elements binary"
+            _sets(n), "id long, elements binary, n_bytes long"
         ).dropDuplicates(["id"]),
         "elements",
     )
@@ -270,7 +285,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     links = None
     for _ in range(STAR_ROUNDS):
         pairs = members.where("id <> probe").select("probe", "id").distinct()
-        probed = pairs.join(sets, "id").join(
+        probed = pairs.join(sets.select("id", "elements"), "id").join(
             sets.select(F.col("id").alias("probe"), F.col("elements").alias("probe_set")), "probe"
         )
         with small_batches(spark, TREE_SETS):
@@ -345,8 +360,10 @@ def _clustered(members: DataFrame) -> DataFrame:
 
 
 def _block_join(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links among each key's sets, block against block; a block holds about TREE_SETS sets."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(TREE_SETS)).cast("int").alias("blocks"))
+    """Links among each key's sets, block against block."""
+    sizes = members.join(sets.select("id", "n_bytes"), "id").groupBy("key").agg(
+        F.ceil(F.greatest(F.count("*") / F.lit(BLOCK_SETS), F.sum("n_bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks")
+    )
     placed = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), "blocks").cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key",
@@ -356,4 +373,4 @@ def _block_join(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
     )
     # against another block, a set of the first probes the second's tree; the block's own pairs are (a, a)
-    return spread.join(sets, "id").groupBy("key", "a", "b").applyInArrow(_blocks(num, den), "u long, v long")
+    return spread.join(sets.select("id", "elements"), "id").groupBy("key", "a", "b").applyInArrow(_blocks(num, den), "u long, v long")
