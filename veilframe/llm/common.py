@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice finished plans that nothing refers to, so their shuffle files are deleted now."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int):
     """Context manager: Arrow batches of at most so many rows for the actions run inside."""
     return _Conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import mix64, small_batches, stored, window_hashes, word_hashes, words_of
+from veilframe.llm.common import mix64, release, small_batches, stored, window_hashes, word_hashes, words_of
 from veilframe.llm.graph import components
 
 #: Sets in one prefix tree.
@@ -194,8 +194,8 @@ def _sets(n: int):
         for batch in batches:
             sets = [shingle_set(x, n).tobytes() for x in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sets, pa.binary()), pa.array(map(len, sets), pa.int64())],
-                ["id", "elements", "n_bytes"],
+                [batch.column("doc_id"), pa.array(sets, pa.binary()), pa.array(map(len, sets), pa.int64()), batch.column("again")],
+                ["id", "elements", "n_bytes", "again"],
             )
 
     return run
@@ -242,6 +242,30 @@ def _blocks(num: int, den: int):
     return run
 
 
+def _members(prepared: DataFrame, reps: DataFrame) -> DataFrame:
+    """key, id, probe (the key's smallest id) of the keys that several different sets have."""
+    is_rep = reps.select(F.col("rep").alias("doc_id"), "n_shingles", "s1", "s2")
+    keys = prepared.join(is_rep, ["doc_id", "n_shingles", "s1", "s2"], "left_semi").select(
+        F.explode("keys").alias("key"), F.col("doc_id").alias("id")
+    )
+    keys = keys.repartition("key")  # one exchange serves the aggregate and the join
+    shared = keys.groupBy("key").agg(F.min("id").alias("probe"), F.max("id").alias("last")).where("probe < last")
+    return stored(keys.join(shared.select("key", "probe"), "key"), "members")
+
+
+def _element_sets(base: DataFrame, prepared: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """id, elements, n_bytes: one set of each member; only the sets of repeated doc_ids are shuffled."""
+    repeated = prepared.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("again"))
+    wanted = members.select("id").distinct().join(repeated, "id", "left").select(
+        F.col("id").alias("doc_id"), F.coalesce("again", F.lit(False)).alias("again")
+    )
+    sets = stored(
+        base.join(wanted, "doc_id").mapInArrow(_sets(n), "id long, elements binary, n_bytes long, again boolean"), "elements"
+    )
+    once = sets.where("not again").select("id", "elements", "n_bytes")
+    return once.union(sets.where("again").select("id", "elements", "n_bytes").dropDuplicates(["id"]))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, n_links.
 
@@ -266,21 +290,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
         .agg(F.min("doc_id").alias("rep")),
         "reps",
     )
-    is_rep = reps.select(F.col("rep").alias("doc_id"), "n_shingles", "s1", "s2")
-    keys = prepared.join(is_rep, ["doc_id", "n_shingles", "s1", "s2"], "left_semi").select(
-        F.explode("keys").alias("key"), F.col("doc_id").alias("id")
-    )
-    keys = keys.repartition("key")  # one exchange serves the aggregate and the join
-    shared = keys.groupBy("key").agg(F.min("id").alias("probe"), F.max("id").alias("last")).where("probe < last")
-    members = stored(keys.join(shared.select("key", "probe"), "key"), "members")
-
-    candidates = members.select("id").distinct()
-    sets = stored(
-        base.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(
-            _sets(n), "id long, elements binary, n_bytes long"
-        ).dropDuplicates(["id"]),
-        "elements",
-    )
+    members = _members(prepared, reps)
+    release(spark)
+    sets = _element_sets(base, prepared, members, n)
 
     links = None
     for _ in range(STAR_ROUNDS):
@@ -290,6 +302,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
         )
         with small_batches(spark, TREE_SETS):
             found = stored(probed.mapInArrow(_probe(num, den), "u long, v long"), "found")
+        del probed
+        release(spark)
         links = found if links is None else stored(links.union(found), "links")
         members, rest = _unsettled(members, components(links))
         if not rest:
@@ -297,6 +311,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     if rest:
         with small_batches(spark, TREE_SETS):
             found = stored(_block_join(_clustered(members), sets, num, den), "found")
+        release(spark)
         links = stored(links.union(found).distinct(), "links")
 
     labels = components(links)
