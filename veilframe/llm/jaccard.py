@@ -12,6 +12,7 @@ A document is the set of its distinct n-word shingles, kept as 64-bit hashes in
    chunk's sets are stored in a prefix tree (path-compressed, by their common beginnings), the probe
    walks it once, overlaps of a shared beginning are counted once, and subtrees whose remaining
    lengths cannot reach the required overlap are pruned.
+   With link counts this step is left out and all sets of all keys are compared as in step 3.
 3. Rest. Only keys whose sets are not yet in one component go on: more stars, then block against
    block of the remaining sets through the same tree. Sets that keys connect form a cluster and travel
    to it once, however many keys they share; a cluster of more than CLUSTER_SETS is compared key by key
@@ -223,7 +224,7 @@ def _probe(num: int, den: int):
 
 
 def _blocks(num: int, den: int):
-    """One block against another (or itself) of a key's sets -> links that join components."""
+    """One block against another (or itself) of a key's sets -> all their links, the larger id first."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -234,9 +235,10 @@ def _blocks(num: int, den: int):
             tree = PrefixTree([np.frombuffer(r["elements"], np.uint64) for r in right])
             for a in left:
                 for k in tree.linked(np.frombuffer(a["elements"], np.uint64), num, den):
-                    if right[k]["id"] != a["id"]:
-                        u.append(a["id"])
-                        v.append(right[k]["id"])
+                    # a block's own pairs are met from both ends
+                    if right[k]["id"] < a["id"] or (right[k]["id"] > a["id"] and a["side"]):
+                        u.append(max(a["id"], right[k]["id"]))
+                        v.append(min(a["id"], right[k]["id"]))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
@@ -266,13 +268,14 @@ def _element_sets(base: DataFrame, prepared: DataFrame, members: DataFrame, n: i
     return once.union(sets.where("again").select("id", "elements", "n_bytes").dropDuplicates(["id"]))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, n_links.
+def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, count_links: bool = True) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id and, if asked for, n_links.
 
     Two documents link when den * |A & B| >= num * |A | B| over their sets of distinct n-word
     shingles (words split at ASCII white space, A-Z lower-cased; a text of fewer words is one
     shingle). component_id is the smallest doc_id reachable by links, the document's own included;
-    n_links counts the links of its set to other sets that were verified on the way.
+    n_links counts all links of its set to other, different sets, so a group of m sets makes up to
+    m * (m - 1) / 2 links; without it, links that a component implies are skipped.
     Null texts and texts without words have n_shingles 0 and link with nothing. Rows that repeat a
     doc_id count as one document; null doc_ids keep a null component_id. Other columns are ignored.
     """
@@ -295,7 +298,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     sets = _element_sets(base, prepared, members, n)
 
     links = None
-    for _ in range(STAR_ROUNDS):
+    if count_links:  # every candidate pair, block against block
+        with small_batches(spark, TREE_SETS):
+            found = stored(_block_join(_clustered(members), sets, num, den), "found")
+        release(spark)
+        links = stored(found.distinct(), "links")
+    for _ in range(0 if count_links else STAR_ROUNDS):
         pairs = members.where("id <> probe").select("probe", "id").distinct()
         probed = pairs.join(sets.select("id", "elements"), "id").join(
             sets.select(F.col("id").alias("probe"), F.col("elements").alias("probe_set")), "probe"
@@ -308,7 +316,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
         members, rest = _unsettled(members, components(links))
         if not rest:
             break
-    if rest:
+    if not count_links and rest:
         with small_batches(spark, TREE_SETS):
             found = stored(_block_join(_clustered(members), sets, num, den), "found")
         release(spark)
@@ -331,7 +339,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
             "doc_id",
             "n_shingles",
             F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []),
         )
     )
 
