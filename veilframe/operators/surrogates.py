@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.dates import cap_age, parse_date, render_date, shape_of, weekday_name
@@ -29,18 +29,22 @@ def deidentify(docs: DataFrame, mentions: DataFrame, secret: bytes, policy: Poli
 
     docs(doc_id, scope_id, text), mentions(doc_id, start, end, type, entity_id), spans apart. Surrogates
     derive from HMAC(HMAC(secret, scope), entity), so a scope is consistent without meeting in one task;
-    names and places that collide within a scope get a number. Dates move by the scope's whole weeks.
+    names and places that collide within a scope get a number, and none is made of a word that stands in
+    one of the scope's own mentions. Dates move by the scope's whole weeks.
     """
     keyed = docs.select("doc_id", "scope_id", "text", scope_keys(secret)(F.col("scope_id")).alias("key"))
     each = mentions.join(keyed, "doc_id").withColumn("old", F.expr("substring(text, int(start) + 1, int(end - start))"))
     each = each.withColumn("digest", F.sha2(F.concat_ws("|", "key", "type", "entity_id"), 256))
     bits = first_bits(F.col("digest"))
-    pick = lambda pool, n: F.element_at(F.array(*map(F.lit, pool)), (n % len(pool) + 1).cast("int"))
+    # of a scope's own words only those in a pool are kept, so its list is bounded
+    atoms = each.where(~F.col("type").isin("DATE", "AGE")).select("scope_id", F.explode(F.split(F.lower("old"), r"[^\p{L}\p{N}]+")).alias("word"))
+    pools = [w.lower() for w in FIRST_NAMES + LAST_NAMES + PLACES]
+    own = atoms.where(F.col("word").isin(pools)).groupBy("scope_id").agg(F.collect_set("word").alias("own_words"))
+    named = each.where(F.col("type").isin("PATIENT", "INVESTIGATOR", "SITE", "LOCATION")).join(own, "scope_id", "left")
+    pick = lambda pool, n: _fresh(pool, n, F.col("own_words"), F.col("digest"))
     stem = F.when(F.col("type").isin("PATIENT", "INVESTIGATOR"), F.concat_ws(" ", pick(FIRST_NAMES, bits), pick(LAST_NAMES, F.shiftright(bits, 20))))
     stem = stem.otherwise(F.concat(pick(PLACES, bits), F.when(F.col("type") == "SITE", " Clinic").otherwise("")))
-    names = each.where(F.col("type").isin("PATIENT", "INVESTIGATOR", "SITE", "LOCATION")).select(
-        "scope_id", "type", "entity_id", stem.alias("stem")
-    ).distinct()
+    names = named.select("scope_id", "type", "entity_id", stem.alias("stem")).distinct()
     rank = F.row_number().over(Window.partitionBy("scope_id", "stem").orderBy("type", "entity_id"))
     names = names.withColumn("again", rank).select(
         "scope_id", "type", "entity_id",
@@ -73,6 +77,15 @@ def deidentify(docs: DataFrame, mentions: DataFrame, secret: bytes, policy: Poli
     )
 
 
+def _fresh(pool: list[str], n: Column, own_words: Column, digest: Column) -> Column:
+    """A word of the pool that is none of the scope's own; letters of the digest where all of them are."""
+    words = F.array(*map(F.lit, pool))
+    left = F.coalesce(F.filter(words, lambda w: ~F.array_contains(own_words, F.lower(w))), words)
+    left = F.when(own_words.isNull(), words).otherwise(left)
+    made = F.initcap(F.translate(F.substring(digest, 1, 12), "0123456789abcdef", "bcdfghjklmnprstv"))
+    return F.when(F.size(left) > 0, F.element_at(left, (n % F.greatest(F.size(left), F.lit(1)) + 1).cast("int"))).otherwise(made)
+
+
 _LIST = "array<struct<start: bigint, end: bigint, new: string, old: string, type: string, entity_id: string>>"
 _SPANS = "array<struct<start: bigint, end: bigint, text: string, type: string, entity_id: string>>"
 
