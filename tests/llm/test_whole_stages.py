@@ -33,3 +33,10 @@ def test_rows_are_judged_by_their_own_text(spark, tmp_path):
 
     clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
     assert pairs(clean) == sorted([r for r in texts if r[1] != bad], key=str) and clean.columns == docs.columns
+
+
+def test_a_table_without_labels_keeps_texts_with_letters(spark, tmp_path):
+    texts = [(1, "some words", None), (2, "42 !", None), (3, None, None), (4, "", None), (None, "ж", None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in texts], SCHEMA)
+    kept = corpus_pipeline.language_id(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, None}

@@ -146,13 +146,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """Rows of docs(doc_id, text, lang), all their columns, whose text has a language found by identify()."""
+    """Rows of docs(doc_id, text, lang), all their columns, whose text has a language found by identify().
+
+    Where nothing could be learned, the rows whose text has a letter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def run(batches):
         for batch in batches:
-            names, _ = shared.value.label(batch.column("text").to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+            texts = batch.column("text").to_pylist()
+            if shared.value.languages:
+                names, _ = shared.value.label(texts)
+                found = [n != UNKNOWN for n in names]
+            else:
+                found = [bool(t and _LETTER.search(t)) for t in texts]
+            yield batch.filter(pa.array(found, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
