@@ -1,22 +1,20 @@
-"""N-gram Jaccard join of whole documents with a prefix tree.
+"""N-gram Jaccard join of whole documents with prefix trees.
 
 A document is the set of its distinct n-word shingles, kept as 64-bit hashes in one global
-(ascending) order. Three steps find every pair of different sets with Jaccard similarity >= t:
+(ascending) order. Equal sets are one node, named by a digest. Three steps find the linked sets:
 
 1. Routing. Sets of a size bucket are cut at the same points of the hash range. Two linked sets differ
    in at most d elements, so of the first d + 1 non-empty parts of a set one at least is identical in
-   both; each of these parts is hashed to one key. A set with fewer non-empty parts is also cut in
-   other ways, at last with keys for its empty parts, so no link is lost. Equal sets are collapsed
-   beforehand, keys travel once, and a key of one set alone is dropped.
-2. Stars. The smallest id of a key is compared with the key's other sets, in bounded chunks: the
-   chunk's sets are stored in a prefix tree (path-compressed, by their common beginnings), the probe
-   walks it once, overlaps of a shared beginning are counted once, and subtrees whose remaining
-   lengths cannot reach the required overlap are pruned.
-   With link counts this step is left out and all sets of all keys are compared as in step 3.
-3. Rest. Only keys whose sets are not yet in one component go on: more stars, then block against
-   block of the remaining sets through the same tree. Sets that keys connect form a cluster and travel
-   to it once, however many keys they share; a cluster of more than CLUSTER_SETS is compared key by key
-   instead. No pairs are emitted within a group; links already implied by a component are skipped.
+   both: put first, it is a common prefix of the two, and its hash is the key of a branch of the tree.
+   A set with fewer non-empty parts is also cut in other ways, at last with keys for its empty parts,
+   so no link is lost. Keys meet in packed blobs (exchange.py), not as rows.
+2. Clusters. Sets that keys connect form a cluster and travel to it once, however many keys they share.
+   A cluster is compared block against block: one block's sets are stored in a prefix tree
+   (path-compressed, by their common beginnings), which is walked once for many probes together;
+   overlaps of a shared beginning are counted once, and subtrees whose remaining lengths cannot reach
+   the required overlap are pruned. A block sends only the links that connect its sets, and counts.
+3. Large clusters, unless links are counted: the smallest set of a key is compared with the key's other
+   sets (stars); keys whose sets are then not yet in one component are joined block against block.
 """
 
 from __future__ import annotations
@@ -30,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import mix64, release, small_batches, stored, window_hashes, word_hashes, words_of
+from veilframe.llm.exchange import ROWS, buckets_for, meetings
 from veilframe.llm.graph import components
 
-#: Sets in one prefix tree.
+#: Sets in one Arrow batch.
 TREE_SETS = 256
 #: Sets and bytes of elements in one block of a key's sets; a set travels once for each block of its key.
 BLOCK_SETS, BLOCK_BYTES = 1024, 8 << 20
@@ -42,8 +41,10 @@ CLUSTER_SETS = 4096
 STAR_ROUNDS = 2
 #: Ways to cut a set before its empty parts get keys.
 LEVELS = 6
-#: Elements between two tests of the remaining-length bound.
-STRIDE = 64
+#: Elements between two tests of the remaining-length bound; less than 256, as overlaps within are bytes.
+STRIDE = 128
+#: Probes of one walk, and bytes of the table of their elements.
+PROBES, PRESENT_BYTES = 256, 32 << 20
 _BITS32 = np.uint64(32)
 
 
@@ -121,14 +122,31 @@ class PrefixTree:
             n = min(len(a), len(b))
             differ = np.flatnonzero(a[:n] != b[:n])
             self.shared.append(int(differ[0]) if len(differ) else n)
-
-    def linked(self, probe: np.ndarray, num: int, den: int) -> list[int]:
-        """Positions of the stored sets whose Jaccard similarity with the probe is >= num/den."""
-        found = []
-        # (depth, overlap up to there, probe elements passed): one entry for each tested branching point
-        path: list[tuple[int, int, int]] = [(0, 0, 0)]
-        pruned_at = -1  # all sets that share more than this many elements with the last are pruned
-        for k, own in enumerate(self.sets):
+        self.universe, flat = np.unique(np.concatenate(self.sets), return_inverse=True)
+        self.places = np.split(flat, np.cumsum([len(x) for x in self.sets])[:-1])
+
+    def together(self) -> int:
+        """Probes that one walk takes."""
+        return max(1, min(PROBES, PRESENT_BYTES // (len(self.universe) + STRIDE)))
+
+    def walk(self, probes: list[np.ndarray], num: int, den: int, wanted=None) -> Iterator[tuple[int, np.ndarray]]:
+        """(position, mask of linked probes) of the stored sets that have a link, Jaccard similarity >= num/den.
+
+        wanted(position) masks the probes whose link with that set matters; None stands for all.
+        """
+        lengths = np.array([len(p) for p in probes], np.int64)
+        held = np.zeros((-(-len(self.universe) // STRIDE) * STRIDE, len(probes)), np.uint8)
+        for c, probe in enumerate(probes):
+            spot = np.minimum(np.searchsorted(self.universe, probe), len(self.universe) - 1)
+            held[spot[self.universe[spot] == probe], c] = 1
+        # elements of each probe below every STRIDE-th of the universe: no more of it are passed there
+        below = np.cumsum(held.reshape(-1, STRIDE, len(probes)).sum(axis=1, dtype=np.int32), axis=0)
+        below = np.concatenate((np.zeros((1, len(probes)), np.int32), below))
+        every = np.ones(len(probes), bool)
+        # (depth, overlap of each probe up to there): one entry for each tested branching point
+        path: list[tuple[int, np.ndarray]] = [(0, np.zeros(len(probes), np.int64))]
+        pruned_at = -1  # all sets that share so many elements with the last are pruned
+        for k, own in enumerate(self.places):
             common = self.shared[k]
             if pruned_at >= 0:
                 if common >= pruned_at:
@@ -136,72 +154,133 @@ class PrefixTree:
                 pruned_at = -1
             while path[-1][0] > common:
                 path.pop()
-            depth, overlap, passed = path[-1]
-            total = len(own) + len(probe)
-            need = -(-num * total // (num + den))
-            # the size of a set below this node is unknown to its siblings: they test it themselves
-            if need > min(len(own), len(probe)):
+            need = -(-num * (lengths + len(own)) // (num + den))
+            open_ = (every if wanted is None else wanted(self.order[k])) & (need <= np.minimum(lengths, len(own)))
+            if not open_.any():
                 continue
+            depth, overlap = path[-1]
             while depth < len(own):
                 end = min(len(own), depth + STRIDE)
-                step = own[depth:end]
-                spot = np.searchsorted(probe[passed:], step)
-                inside = spot < len(probe) - passed
-                hits = int((probe[passed:][spot[inside]] == step[inside]).sum())
-                overlap += hits
-                passed += int(np.searchsorted(probe[passed:], step[-1], side="right"))
+                overlap = overlap + np.add.reduce(held[own[depth:end]], axis=0, dtype=np.uint8)
                 depth = end
-                path.append((depth, overlap, passed))
-                if overlap + min(len(own) - depth, len(probe) - passed) < need:
-                    # a longer set below this node needs more and has the same overlap so far; a shorter
-                    # one may pass, so the subtree goes only if the probe's own remainder rules it out
-                    least = -(-num * (len(probe) + depth) // (num + den))
-                    if overlap + len(probe) - passed < least:
+                path.append((depth, overlap))
+                if not (open_ & (overlap + (len(own) - depth) >= need)).any():
+                    # another set below this node may be longer or wanted: the subtree goes only if no probe's
+                    # own remainder suffices there
+                    left = lengths - below[own[depth - 1] // STRIDE]
+                    if (overlap + left < -(-num * (lengths + depth) // (num + den))).all():
                         pruned_at = depth
                     break
             else:
-                if den * overlap >= num * (total - overlap):
-                    found.append(self.order[k])
-        return found
+                linked = open_ & (den * overlap >= num * (lengths + len(own) - overlap))
+                if linked.any():
+                    yield self.order[k], linked
+
+
+class _Forest:
+    """Components of the sets of one block, as labels."""
+
+    def __init__(self, size: int):
+        self.label = np.arange(size)
+        self.edges: list[tuple[int, int]] = []
+        self.parts = size
+
+    def join(self, a: int, b: int) -> None:
+        if self.label[a] != self.label[b]:
+            self.label[self.label == self.label[b]] = self.label[a]
+            self.edges.append((a, b))
+            self.parts -= 1
+
 
+def compare(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int, counts: bool):
+    """Links between two blocks of different sets, or within one (right = None).
 
-def _prepare(n: int, num: int, den: int):
+    (edges, numbers): edges connect all linked sets, named by position, those of right after those of left;
+    numbers has every set's links in this comparison, if they are asked for.
+    """
+    sets = left + (right or [])
+    forest, numbers = _Forest(len(sets)), np.zeros(len(sets), np.int64)
+    tree, first = PrefixTree(right if right is not None else left), len(left) if right is not None else 0
+    at, size = 0, tree.together() if counts else 1
+    while at < len(left) and (counts or forest.parts > 1):
+        own = np.arange(at, min(len(left), at + size))
+        wanted = (lambda k, own=own: own != k) if right is None else None
+        if not counts:
+            wanted = lambda k, own=own: forest.label[own] != forest.label[first + k]
+        for k, linked in tree.walk([left[i] for i in own], num, den, wanted):
+            for i in own[linked].tolist() if forest.parts > 1 else ():
+                forest.join(first + k, i)
+            if counts:
+                numbers[own] += linked
+                if right is not None:
+                    numbers[first + k] += int(linked.sum())
+        at, size = at + size, min(tree.together(), 4 * size)
+    return forest.edges, numbers
+
+
+def _digest(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw, seed=1) - 2**63
+
+
+def _digests(n: int):
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            sizes, first, second, keys = [], [], [], []
-            for text in texts:
-                elements = shingle_set(text, n)
-                raw = elements.tobytes()
-                sizes.append(len(elements))
-                first.append(xxhash.xxh64_intdigest(raw, seed=1) - 2**63)
-                second.append(xxhash.xxh64_intdigest(raw, seed=2) - 2**63)
-                keys.append(routing_keys(elements, num, den).view(np.int64) if len(elements) else np.empty(0, np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            sets = [shingle_set(text, n) for text in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()),
-                    pa.array(second, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat)),
+                    batch.column("doc_id"), pa.array(map(len, sets), pa.int64()),
+                    pa.array([_digest(x.tobytes()) for x in sets], pa.int64()),
                 ],
-                ["doc_id", "n_shingles", "s1", "s2", "keys"],
+                ["doc_id", "n_shingles", "node"],
             )
 
     return run
 
 
+def _routed(n: int, num: int, den: int):
+    """(node, routing keys) of the different sets of a batch of texts."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        seen = set()
+        for text in batch.column("text").cast(pa.binary()).to_pylist():
+            elements = shingle_set(text, n)
+            node = _digest(elements.tobytes())
+            if len(elements) and node not in seen:
+                seen.add(node)
+                yield node, routing_keys(elements, num, den)
+
+    return run
+
+
 def _sets(n: int):
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(x, n).tobytes() for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            ids, sets, again = [], [], []
+            columns = (batch.column("text").cast(pa.binary()), batch.column("node"), batch.column("again"))
+            for text, node, repeated in zip(*[c.to_pylist() for c in columns], strict=True):
+                raw = shingle_set(text, n).tobytes()
+                if _digest(raw) == node:  # not another text of that doc_id
+                    ids.append(node)
+                    sets.append(raw)
+                    again.append(repeated)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sets, pa.binary()), pa.array(map(len, sets), pa.int64()), batch.column("again")],
+                [pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(again, pa.bool_())],
                 ["id", "elements", "n_bytes", "again"],
             )
 
     return run
 
 
+def _keys(num: int, den: int):
+    def run(batches):
+        for batch in batches:
+            for own, raw in zip(batch.column("id").to_pylist(), batch.column("elements").to_pylist(), strict=True):
+                keys = np.unique(routing_keys(np.frombuffer(raw, np.uint64), num, den).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), own, np.int64))], ["key", "id"])
+
+    return run
+
+
 def _probe(num: int, den: int):
     """Rows (probe, probe_set, id, elements), equal probes mostly adjacent -> links."""
 
@@ -212,9 +291,9 @@ def _probe(num: int, den: int):
             own, theirs = batch.column("probe_set"), batch.column("elements")
             u, v, start = [], [], 0
             for i in range(1, len(probes) + 1):
-                if i == len(probes) or probes[i] != probes[start] or i - start == TREE_SETS:
+                if i == len(probes) or probes[i] != probes[start]:
                     tree = PrefixTree([np.frombuffer(theirs[j].as_py(), np.uint64) for j in range(start, i)])
-                    for k in tree.linked(np.frombuffer(own[start].as_py(), np.uint64), num, den):
+                    for k, _ in tree.walk([np.frombuffer(own[start].as_py(), np.uint64)], num, den):
                         u.append(ids[start + k])
                         v.append(probes[start])
                     start = i
@@ -223,47 +302,52 @@ def _probe(num: int, den: int):
     return run
 
 
-def _blocks(num: int, den: int):
-    """One block against another (or itself) of a key's sets -> all their links, the larger id first."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        left = [r for r in rows if r["side"] != 2]
-        right = [r for r in rows if r["side"] != 1]
-        u, v = [], []
-        if left and right:
-            tree = PrefixTree([np.frombuffer(r["elements"], np.uint64) for r in right])
-            for a in left:
-                for k in tree.linked(np.frombuffer(a["elements"], np.uint64), num, den):
-                    # a block's own pairs are met from both ends
-                    if right[k]["id"] < a["id"] or (right[k]["id"] > a["id"] and a["side"]):
-                        u.append(max(a["id"], right[k]["id"]))
-                        v.append(min(a["id"], right[k]["id"]))
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+def _blocks(num: int, den: int, counts: bool):
+    """Rows (key, a, b, side, id, elements) sorted by the first three -> (u, v) that connect, (u, null, links)."""
+
+    def answer(rows):
+        left = [r for r in rows if r[0] != 2]
+        right = [r for r in rows if r[0] == 2] if any(r[0] for r in rows) else None
+        if len(rows) < 2 or not left or right == []:
+            return
+        sets = [[np.frombuffer(r[2], np.uint64) for r in part] for part in (left, right or [])]
+        edges, numbers = compare(sets[0], sets[1] if right else None, num, den, counts)
+        ids = [r[1] for r in left + (right or [])]
+        for a, b in edges:
+            yield max(ids[a], ids[b]), min(ids[a], ids[b]), None
+        for k in np.flatnonzero(numbers).tolist():
+            yield ids[k], None, int(numbers[k])
+
+    def run(batches):
+        group, rows = None, []
+        for batch in batches:
+            found = []
+            for key, a, b, *row in zip(
+                *[batch.column(c).to_pylist() for c in ("key", "a", "b", "side", "id", "elements")], strict=True
+            ):
+                if (key, a, b) != group:
+                    found.extend(answer(rows))
+                    group, rows = (key, a, b), []
+                rows.append(row)
+            yield _found(found)
+        yield _found(list(answer(rows)))
 
     return run
 
 
-def _members(prepared: DataFrame, reps: DataFrame) -> DataFrame:
-    """key, id, probe (the key's smallest id) of the keys that several different sets have."""
-    is_rep = reps.select(F.col("rep").alias("doc_id"), "n_shingles", "s1", "s2")
-    keys = prepared.join(is_rep, ["doc_id", "n_shingles", "s1", "s2"], "left_semi").select(
-        F.explode("keys").alias("key"), F.col("doc_id").alias("id")
-    )
-    keys = keys.repartition("key")  # one exchange serves the aggregate and the join
-    shared = keys.groupBy("key").agg(F.min("id").alias("probe"), F.max("id").alias("last")).where("probe < last")
-    return stored(keys.join(shared.select("key", "probe"), "key"), "members")
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["u", "v", "n"])
 
 
-def _element_sets(base: DataFrame, prepared: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """id, elements, n_bytes: one set of each member; only the sets of repeated doc_ids are shuffled."""
-    repeated = prepared.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("again"))
-    wanted = members.select("id").distinct().join(repeated, "id", "left").select(
-        F.col("id").alias("doc_id"), F.coalesce("again", F.lit(False)).alias("again")
-    )
-    sets = stored(
-        base.join(wanted, "doc_id").mapInArrow(_sets(n), "id long, elements binary, n_bytes long, again boolean"), "elements"
-    )
+def _element_sets(base: DataFrame, prepared: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """id, elements, n_bytes of each wanted (doc_id, node); only the sets of repeated doc_ids are shuffled."""
+    repeated = prepared.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again"))
+    wanted = wanted.join(repeated, "doc_id", "left").select("doc_id", "node", F.coalesce("again", F.lit(False)).alias("again"))
+    with small_batches(base.sparkSession, ROWS):
+        sets = stored(
+            base.join(wanted, "doc_id").mapInArrow(_sets(n), "id long, elements binary, n_bytes long, again boolean"), "elements"
+        )
     once = sets.where("not again").select("id", "elements", "n_bytes")
     return once.union(sets.where("again").select("id", "elements", "n_bytes").dropDuplicates(["id"]))
 
@@ -274,36 +358,64 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     Two documents link when den * |A & B| >= num * |A | B| over their sets of distinct n-word
     shingles (words split at ASCII white space, A-Z lower-cased; a text of fewer words is one
     shingle). component_id is the smallest doc_id reachable by links, the document's own included;
-    n_links counts all links of its set to other, different sets, so a group of m sets makes up to
-    m * (m - 1) / 2 links; without it, links that a component implies are skipped.
-    Null texts and texts without words have n_shingles 0 and link with nothing. Rows that repeat a
-    doc_id count as one document; null doc_ids keep a null component_id. Other columns are ignored.
+    n_links counts all links of its set to other, different sets: every two sets of a cluster are
+    compared for it. Without it, links that a component implies are skipped.
+    Null texts and texts without words have n_shingles 0 and link with nothing. Rows repeated as a
+    whole have equal results; different texts under one doc_id are documents of their own; null
+    doc_ids keep a null component_id. Other columns are ignored.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prepared = stored(
-        base.mapInArrow(
-            _prepare(n, num, den), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"
-        ),
-        "sets",
-    )
-    reps = stored(
-        prepared.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("n_shingles", "s1", "s2")
-        .agg(F.min("doc_id").alias("rep")),
-        "reps",
-    )
-    members = _members(prepared, reps)
+    with small_batches(spark, ROWS):
+        prepared = stored(base.mapInArrow(_digests(n), "doc_id long, n_shingles long, node long"), "sets")
+    named = base.where("doc_id is not null")
+    rows, elements = prepared.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    keys = 4 * rows + 3 * elements * (den - num) // (den + num)
+    with small_batches(spark, ROWS):
+        met = stored(meetings(named, _routed(n, num, den), buckets_for(keys)).select("u", "v").distinct(), "met")
+    clusters = components(met)
+    reps = prepared.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    reps = stored(reps, "reps")
+    sets = _element_sets(named, prepared, clusters.join(reps, "node").select(F.col("rep").alias("doc_id"), "node"), n)
     release(spark)
-    sets = _element_sets(base, prepared, members, n)
 
-    links = None
-    if count_links:  # every candidate pair, block against block
-        with small_batches(spark, TREE_SETS):
-            found = stored(_block_join(_clustered(members), sets, num, den), "found")
-        release(spark)
-        links = stored(found.distinct(), "links")
-    for _ in range(0 if count_links else STAR_ROUNDS):
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
+    large = stored(sizes.where(F.lit(not count_links) & (F.col("size") > CLUSTER_SETS)), "large")
+    members = clusters.join(large, "component", "left_anti").select(F.col("component").alias("key"), F.col("node").alias("id"))
+    with small_batches(spark, TREE_SETS):
+        found = stored(_block_join(members, sets, num, den, count_links), "found")
+    release(spark)
+    links = found.where("v is not null").select("u", "v")
+    if not large.isEmpty():
+        inside = clusters.join(large, "component", "left_semi").select(F.col("node").alias("id"))
+        links = links.union(_large_clusters(sets.join(inside, "id"), num, den))
+
+    labels = components(links)
+    linked = reps.join(labels, "node")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    classes = reps.join(linked.join(least, "component").select("node", "least"), "node", "left")
+    if count_links:
+        degree = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n_links"))
+        classes = classes.join(degree, "node", "left")
+    else:
+        classes = classes.withColumn("n_links", F.lit(0))
+    classes = classes.select("node", F.coalesce("least", "rep").alias("least"), "n_links")
+    of = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")
+    count = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    some = prepared.where("n_shingles > 0").join(classes, "node", "left").select("doc_id", "n_shingles", of, *count)
+    none = prepared.where("n_shingles = 0").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *([F.lit(0).cast("long").alias("n_links")] if count_links else [])
+    )
+    return some.union(none)
+
+
+def _large_clusters(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links that connect the linked sets (id, elements, n_bytes) of clusters too large to be compared as a whole."""
+    spark = sets.sparkSession
+    keys = sets.select("id", "elements").mapInArrow(_keys(num, den), "key long, id long").repartition("key")
+    shared = keys.groupBy("key").agg(F.min("id").alias("probe"), F.max("id").alias("last")).where("probe < last")
+    members, links, rest = stored(keys.join(shared.select("key", "probe"), "key"), "members"), None, True
+    for _ in range(STAR_ROUNDS):
         pairs = members.where("id <> probe").select("probe", "id").distinct()
         probed = pairs.join(sets.select("id", "elements"), "id").join(
             sets.select(F.col("id").alias("probe"), F.col("elements").alias("probe_set")), "probe"
@@ -312,36 +424,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             found = stored(probed.mapInArrow(_probe(num, den), "u long, v long"), "found")
         del probed
         release(spark)
-        links = found if links is None else stored(links.union(found), "links")
+        links = found if links is None else links.union(found)
         members, rest = _unsettled(members, components(links))
         if not rest:
-            break
-    if not count_links and rest:
-        with small_batches(spark, TREE_SETS):
-            found = stored(_block_join(_clustered(members), sets, num, den), "found")
-        release(spark)
-        links = stored(links.union(found).distinct(), "links")
-
-    labels = components(links)
-    degree = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().groupBy("u").count()
-    classes = (
-        reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(degree.withColumnRenamed("u", "rep"), "rep", "left")
-        .select(
-            "n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component"),
-            F.coalesce("count", F.lit(0)).alias("n_links"),
-        )
-    )
-    return (
-        prepared.select("doc_id", "n_shingles", "s1", "s2")
-        .join(classes, ["n_shingles", "s1", "s2"], "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-            *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []),
-        )
-    )
+            return links
+    with small_batches(spark, TREE_SETS):
+        found = stored(_block_join(_clustered(members), sets, num, den, False), "found")
+    return links.union(found.select("u", "v"))
 
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, bool]:
@@ -382,8 +471,8 @@ def _clustered(members: DataFrame) -> DataFrame:
     )
 
 
-def _block_join(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links among each key's sets, block against block."""
+def _block_join(members: DataFrame, sets: DataFrame, num: int, den: int, counts: bool) -> DataFrame:
+    """Links (u, v) and numbers (u, null, n) among each key's sets, block against block."""
     sizes = members.join(sets.select("id", "n_bytes"), "id").groupBy("key").agg(
         F.ceil(F.greatest(F.count("*") / F.lit(BLOCK_SETS), F.sum("n_bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks")
     )
@@ -396,4 +485,5 @@ def _block_join(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
     )
     # against another block, a set of the first probes the second's tree; the block's own pairs are (a, a)
-    return spread.join(sets.select("id", "elements"), "id").groupBy("key", "a", "b").applyInArrow(_blocks(num, den), "u long, v long")
+    together = spread.join(sets.select("id", "elements"), "id").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side", "id")
+    return together.mapInArrow(_blocks(num, den, counts), "u long, v long, n long")
