@@ -238,16 +238,16 @@ def _digests(n: int):
 
 
 def _routed(n: int, num: int, den: int):
-    """(node, routing keys) of the different sets of a batch of texts."""
+    """(node, routing keys, None) of the different sets of a batch of texts."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    def run(batch: pa.RecordBatch) -> Iterator[tuple]:
         seen = set()
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             elements = shingle_set(text, n)
             node = _digest(elements.tobytes())
             if len(elements) and node not in seen:
                 seen.add(node)
-                yield node, routing_keys(elements, num, den)
+                yield node, routing_keys(elements, num, den), None
 
     return run
 
