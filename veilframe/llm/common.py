@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +24,14 @@ _M2 = np.uint64(0x94D049BB133111EB)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """A folder of this run under spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a local master gets a temporary folder; on a cluster it must be set.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="veilframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/veilframe-{_RUN}"
@@ -39,6 +46,7 @@ def _forget(spark: SparkSession, folder: str) -> None:
 
 
 _registered: set[str] = set()
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -50,13 +58,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_forget, spark, folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex[:10]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in frames:
+        _forget(df.sparkSession, _paths.pop(df))
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver notice finished plans that nothing refers to, so their shuffle files are deleted now."""
+    """Let the driver notice finished plans that nothing refers to, so their shuffle files are deleted now.
+
+    The first collection frees what Python's references held, the second what those plans held.
+    """
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.2)
+    spark._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import stored
+from veilframe.llm.common import discard, stored
 
 #: A fixed point is reached after a number of rounds that grows with the logarithm of the longest chain.
 MAX_ROUNDS = 60
@@ -46,7 +46,9 @@ def components(edges: DataFrame) -> DataFrame:
     if not seen[0]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(MAX_ROUNDS):
+        before = now
         now, got = _checked(_small_star(_large_star(now)), "stars")
+        discard(before)
         if got == seen:
             break
         seen = got

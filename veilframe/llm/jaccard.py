@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import mix64, release, small_batches, stored, window_hashes, word_hashes, words_of
+from veilframe.llm.common import discard, mix64, release, small_batches, stored, window_hashes, word_hashes, words_of
 from veilframe.llm.exchange import ROWS, buckets_for, meetings
 from veilframe.llm.graph import components
 
@@ -374,6 +374,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     with small_batches(spark, ROWS):
         met = stored(meetings(named, _routed(n, num, den), buckets_for(keys)).select("u", "v").distinct(), "met")
     clusters = components(met)
+    discard(met)
     reps = prepared.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     reps = stored(reps, "reps")
     sets = _element_sets(named, prepared, clusters.join(reps, "node").select(F.col("rep").alias("doc_id"), "node"), n)
