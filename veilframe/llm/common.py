@@ -13,9 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Entries of a per-process cache before it is emptied; bounds a Python worker's memory.
 CACHE_ENTRIES = 300_000
+#: Rows of a table that is broadcast, of some 30 bytes each; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _RUN = uuid.uuid4().hex[:12]
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -63,6 +66,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def light(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A stored table of few narrow columns, broadcast to joins if it has BROADCAST_ROWS rows at most.
+
+    rows: what to count where the table's own rows hold lists.
+    """
+    rows = df.count() if rows is None else rows
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for df in frames:

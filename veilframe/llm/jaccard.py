@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import discard, mix64, release, small_batches, stored, window_hashes, word_hashes, words_of
+from veilframe.llm.common import discard, light, mix64, release, small_batches, stored, window_hashes, word_hashes, words_of
 from veilframe.llm.exchange import ROWS, buckets_for, meetings
 from veilframe.llm.graph import components
 
@@ -340,16 +340,20 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["u", "v", "n"])
 
 
-def _element_sets(base: DataFrame, prepared: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """id, elements, n_bytes of each wanted (doc_id, node); only the sets of repeated doc_ids are shuffled."""
+def _element_sets(base: DataFrame, prepared: DataFrame, wanted: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """id, elements, n_bytes of each wanted (doc_id, node), and the table they are stored in.
+
+    Only the sets of repeated doc_ids are shuffled.
+    """
     repeated = prepared.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again"))
     wanted = wanted.join(repeated, "doc_id", "left").select("doc_id", "node", F.coalesce("again", F.lit(False)).alias("again"))
+    wanted = light(stored(wanted, "wanted"))
     with small_batches(base.sparkSession, ROWS):
         sets = stored(
             base.join(wanted, "doc_id").mapInArrow(_sets(n), "id long, elements binary, n_bytes long, again boolean"), "elements"
         )
     once = sets.where("not again").select("id", "elements", "n_bytes")
-    return once.union(sets.where("again").select("id", "elements", "n_bytes").dropDuplicates(["id"]))
+    return once.union(sets.where("again").select("id", "elements", "n_bytes").dropDuplicates(["id"])), sets
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, count_links: bool = True) -> DataFrame:
@@ -377,7 +381,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     discard(met)
     reps = prepared.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     reps = stored(reps, "reps")
-    sets = _element_sets(named, prepared, clusters.join(reps, "node").select(F.col("rep").alias("doc_id"), "node"), n)
+    sets, table = _element_sets(named, prepared, clusters.join(reps, "node").select(F.col("rep").alias("doc_id"), "node"), n)
     release(spark)
 
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
@@ -392,6 +396,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         links = links.union(_large_clusters(sets.join(inside, "id"), num, den))
 
     labels = components(links)
+    discard(table)
+    release(spark)
     linked = reps.join(labels, "node")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     classes = reps.join(linked.join(least, "component").select("node", "least"), "node", "left")
