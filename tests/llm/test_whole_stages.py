@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from veilframe.llm import langid
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -40,3 +43,16 @@ def test_a_table_without_labels_keeps_texts_with_letters(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in texts], SCHEMA)
     kept = corpus_pipeline.language_id(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, None}
+
+
+def test_the_language_sample_keeps_its_bound(spark):
+    rows = [(7, f"mot {i}", "fr") for i in range(400)] + [(8, "same text", "en")] * 400 + [(i, f"word {i}", "en") for i in range(9, 40)]
+    rows += [(1, None, "fr"), (2, "x", None), (None, "y", "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {i for (i,) in frame.select("doc_id").where(langid.held_out(F.col("doc_id"), 5, 0)).distinct().collect()}
+    got = langid.sample(frame).collect()
+    counts = {lang: [r.n for r in got if r.lang == lang] for lang in ("en", "fr")}
+    for lang, numbers in counts.items():
+        known = len({(i, t) for i, t, x in rows if x == lang and i is not None and t is not None and i not in held})
+        assert sorted(numbers) == list(range(1, min(known, langid.SAMPLE_PER_LANGUAGE) + 1))
+    assert all(r.doc_id not in held and r.text is not None for r in got)

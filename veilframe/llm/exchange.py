@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Keys and rows packed together by a task; a row number and a mark fit 16 bits.
-CHUNK_KEYS, CHUNK_ROWS = 1 << 20, 1 << 15
+CHUNK_KEYS, CHUNK_ROWS = 1 << 19, 1 << 15
 #: Further owners of a key that a chunk sends to its bucket; the rest meet the chunk's first owner at once.
 HELD = 16
 #: Keys of one bucket, on average; a bucket is one group.
-BUCKET_KEYS = 1 << 20
+BUCKET_KEYS = 1 << 19
 #: Rows of one Arrow batch while keys are made.
 ROWS = 1000
 _BITS32 = np.uint64(32)

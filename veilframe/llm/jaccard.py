@@ -4,10 +4,10 @@ A document is the set of its distinct n-word shingles, kept as 64-bit hashes in
 (ascending) order. Equal sets are one node, named by a digest. Three steps find the linked sets:
 
 1. Routing. Sets of a size bucket are cut at the same points of the hash range. Two linked sets differ
-   in at most d elements, so of the first d + 1 non-empty parts of a set one at least is identical in
-   both: put first, it is a common prefix of the two, and its hash is the key of a branch of the tree.
-   A set with fewer non-empty parts is also cut in other ways, at last with keys for its empty parts,
-   so no link is lost. Keys meet in packed blobs (exchange.py), not as rows.
+   in at most d elements, so of the first d + 1 parts of a set that have q elements or more one at least
+   is identical in both: put first, it is a common prefix of the two, and its hash is the key of a branch
+   of the tree. A set with fewer such parts is also cut in other ways, at last with keys for all parts,
+   the empty ones too, so no link is lost. Keys meet in packed blobs (exchange.py), not as rows.
 2. Clusters. Sets that keys connect form a cluster and travel to it once, however many keys they share.
    A cluster is compared block against block: one block's sets are stored in a prefix tree
    (path-compressed, by their common beginnings), which is walked once for many probes together;
@@ -19,7 +19,9 @@ A document is the set of its distinct n-word shingles, kept as 64-bit hashes in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,9 @@ BLOCK_SETS, BLOCK_BYTES = 1024, 8 << 20
 CLUSTER_SETS = 4096
 #: Rounds of stars before the rest is joined block by block.
 STAR_ROUNDS = 2
-#: Ways to cut a set before its empty parts get keys.
+#: Most elements that a part must have to be a key.
+QUORUM = 5
+#: Ways to cut a set before all its parts get keys.
 LEVELS = 6
 #: Elements between two tests of the remaining-length bound; less than 256, as overlaps within are bytes.
 STRIDE = 128
@@ -78,30 +82,48 @@ def difference(size: int, other: int, num: int, den: int) -> int:
     return (size + other) * (den - num) // (den + num)
 
 
-def cut_count(high: int, num: int, den: int) -> int:
-    """Parts for sets of at most so many elements: more than their largest difference, with some to spare."""
+@lru_cache(maxsize=4096)
+def cut_plan(high: int, num: int, den: int) -> tuple[int, int]:
+    """(parts, q) for sets of at most so many elements: parts of q elements or more are keys.
+
+    The largest q, and for it the fewest parts, that leave most sets of the bucket enough such parts
+    if its elements fall at random; parts of few elements are often the same by chance.
+    """
     most = difference(high, high, num, den)
-    return most + 1 + (2 + most // 10 if most else 0)
+    for q in range(QUORUM, 1, -1):
+        for step in range(40, 4, -1):  # elements in a part, on average, in steps of a quarter
+            parts = -(-4 * high // step)
+            if parts > most and all(_enough(size, parts, q, high, num, den) for size in (high, high * num // den, high * 2 // 3)):
+                return parts, q
+    return most + 1 + (2 + most // 10 if most else 0), 1
+
+
+def _enough(size: int, parts: int, q: int, high: int, num: int, den: int) -> bool:
+    mean = size / parts
+    share = 1 - sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(q))
+    wanted = difference(size, min(high, size * den // num), num, den) + 1
+    return parts * share - 0.5 * math.sqrt(parts * share * (1 - share)) >= wanted
 
 
 def routing_keys(elements: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys such that two sets with Jaccard >= num/den, 100 of one size or not, have one in common.
 
-    A set needs keys for its first d + 1 non-empty parts only, d being its largest difference from a partner:
-    where the first of two linked sets reaches so many, at most d of them differ, and the other set,
+    A set needs keys for its first d + 1 parts of q elements or more only, d being its largest difference from
+    a partner: where the first of two linked sets reaches so many, at most d of them differ, and the other set,
     which reaches its own number there or later, has a key for the part that is the same.
     """
     out = []
     size = len(elements)
     for bucket, high in buckets(size, num, den):
-        parts, wanted = cut_count(high, num, den), difference(size, min(high, size * den // num), num, den) + 1
+        parts, quorum = cut_plan(high, num, den)
+        wanted = difference(size, min(high, size * den // num), num, den) + 1
         for level in range(LEVELS + 1):
             cut = elements if level == 0 else np.sort(mix64(elements ^ np.uint64(0xA5A5 + level)))
             at = ((cut >> _BITS32) * np.uint64(parts)) >> _BITS32
             ends = np.cumsum(np.bincount(at.astype(np.int64), minlength=parts))
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(cut), dtype=np.uint64)))
             starts = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
-            full = np.flatnonzero(ends > starts)
+            full = np.flatnonzero(ends - starts >= quorum)
             label = np.arange(parts, dtype=np.uint64) + np.uint64(((bucket * 64 + level) << 32) + 1)
             keys = mix64((sums[ends] - sums[starts]) ^ mix64(label))
             enough = len(full) >= wanted
