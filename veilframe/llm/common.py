@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries of a per-process cache before it is emptied; bounds a Python worker's memory.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 #: Rows of a table that is broadcast, of some 30 bytes each; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
