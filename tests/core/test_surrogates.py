@@ -21,3 +21,18 @@ def test_no_surrogate_is_a_word_of_its_scope(spark):
     lower = lambda frame: frame.withColumn("text", F.lower("text"))
     assert out.count() == 61 and out.where("text is null or text = ''").count() == 0
     assert surrogates.residual_hits(lower(before), lower(out)).count() == 0
+
+
+def test_the_residual_scan_finds_planted_survivors(spark):
+    """Other case, words of two letters, words of a phrase, digit runs; ages, other scopes and null texts do not count."""
+    before = [
+        (1, "Otto Berg", "PATIENT"), (1, "Li Wu", "PATIENT"), (1, "ID 4711-22", "ID"), (1, "44", "AGE"), (1, None, "SITE"), (2, "Gotha", "SITE"),
+    ]
+    after = [
+        (1, 1, "we met otto berg and Li Wu again"), (1, 2, "code 4711x"), (1, 3, "gotha 44"), (2, 4, "in GOTHA"), (1, 5, None), (1, 6, ""),
+    ]
+    before = spark.createDataFrame(before, "scope_id long, text string, type string")
+    after = spark.createDataFrame(after, "scope_id long, doc_id long, text string")
+    got = {tuple(r) for r in surrogates.residual_hits(before, after).collect()}
+    assert got == {(1, 1, "otto"), (1, 1, "berg"), (1, 1, "li"), (1, 1, "wu"), (1, 2, "4711"), (2, 4, "gotha")}
+    assert surrogates.residual_hits(before.limit(0), after).count() == 0

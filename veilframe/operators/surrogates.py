@@ -102,13 +102,23 @@ def _step(a, m):
     )
 
 
+def _pieces(text: Column) -> Column:
+    """Lower-cased words of two characters or more, and runs of three digits or more, of a text."""
+    low = F.lower(text)
+    words = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
+    return F.array_distinct(F.concat(words, F.regexp_extract_all(low, F.lit("([0-9]{3,})"), 1)))
+
+
 def residual_hits(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Original mentions (dates and ages apart) that stand as words in an output document of their scope.
+    """(scope_id, doc_id, word): pieces of original mentions that stand in an output document of their scope.
 
-    before(scope_id, text, type), after(scope_id, doc_id, text); words meet in an equi-join."""
-    words = before.where(~F.col("type").isin("DATE", "AGE") & ~is_generic(F.col("text")))
-    pieces = words.select("scope_id", F.explode(F.split("text", r"[^\p{L}\p{N}]+")).alias("word")).where(F.length("word") > 2).distinct()
-    seen = after.select("scope_id", "doc_id", F.explode(F.split("text", r"[^\p{L}\p{N}]+")).alias("word")).distinct()
+    Dates, ages and generic references apart, a piece is a word of two characters or more, in any case, or a run
+    of three digits or more, so a surviving phrase shows by its words. before(scope_id, text, type),
+    after(scope_id, doc_id, text); pieces meet in an equi-join. Null texts have no pieces.
+    """
+    named = before.where(~F.col("type").isin("DATE", "AGE") & ~is_generic(F.col("text")))
+    pieces = named.select("scope_id", F.explode(_pieces(F.col("text"))).alias("word")).distinct()
+    seen = after.select("scope_id", "doc_id", F.explode(_pieces(F.col("text"))).alias("word")).distinct()
     return seen.join(pieces, ["scope_id", "word"]).select("scope_id", "doc_id", "word")
 
 
