@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veilframe.llm import langid
+from veilframe.llm import langid, pages
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -56,3 +56,9 @@ def test_the_language_sample_keeps_its_bound(spark):
         known = len({(i, t) for i, t, x in rows if x == lang and i is not None and t is not None and i not in held})
         assert sorted(numbers) == list(range(1, min(known, langid.SAMPLE_PER_LANGUAGE) + 1))
     assert all(r.doc_id not in held and r.text is not None for r in got)
+
+
+def test_deep_pages_do_not_recurse():
+    page = "<html><body>" + "<div>" * 3000 + "<p>some running text of the article</p>" + "</div>" * 3000 + "</body></html>"
+    assert pages.extract(page, "html>body>section") == "some running text of the article"
+    assert pages.extract(page, "html>body>div") == "some running text of the article"

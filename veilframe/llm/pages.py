@@ -199,25 +199,23 @@ def extract(page: str | None, path: str | None) -> str:
         return ""
     nodes, blocks = parse(page)
     chosen = {id(n) for n in nodes if path and n.path == path and not n.noise}
-    inside: dict[int, bool] = {}
-
-    def within(node: _Node | None) -> bool:
-        if node is None:
-            return False
-        if id(node) not in inside:
-            inside[id(node)] = id(node) in chosen or within(node.parent)
-        return inside[id(node)]
-
-    out = [text for node, text, _ in blocks if within(node)]
+    out = _inside(nodes, blocks, chosen)
     if not out and blocks:
         score(nodes, blocks)
         best = max((n for n in nodes if not n.noise), key=lambda n: n.score)
-        chosen = {id(best)}
-        inside.clear()
-        out = [text for node, text, _ in blocks if within(node)]
+        out = _inside(nodes, blocks, {id(best)})
     return "\n".join(out)
 
 
+def _inside(nodes: list[_Node], blocks: list[tuple[_Node, str, int]], chosen: set[int]) -> list[str]:
+    """Texts of the blocks in these containers, however deep; nodes come before those they hold."""
+    held = set(chosen)
+    for node in nodes:
+        if node.parent is not None and id(node.parent) in held:
+            held.add(id(node))
+    return [text for node, text, _ in blocks if id(node) in held]
+
+
 def _vote(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         # votes of a batch's pages are summed before they leave the task
