@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import time
@@ -11,6 +12,7 @@ import weakref
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,6 +114,24 @@ class _Conf:
             self.spark.conf.set(self.key, self.before)
 
 
+def give_back() -> None:
+    """Return the memory that this Python worker has freed to the system; a worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """An Arrow task, run, that gives freed memory back when it ends."""
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (the splitmix finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * _M1

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.common import give_back, tidy
+
 #: Keys and rows packed together by a task; a row number and a mark fit 16 bits.
 CHUNK_KEYS, CHUNK_ROWS = 1 << 19, 1 << 15
 #: Further owners of a key that a chunk sends to its bucket; the rest meet the chunk's first owner at once.
@@ -128,7 +130,10 @@ def _meet(most: int | None):
             met = _counted(*_within(np.concatenate(keys), np.concatenate(ids), np.concatenate(marks), most))
             for to, x in zip(pairs, met, strict=True):
                 to.append(x)
-        return pa.table([pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in pairs], names=_LONGS)
+        out = pa.table([pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in pairs], names=_LONGS)
+        del keys, ids, marks, pairs
+        give_back()
+        return out
 
     return run
 
@@ -170,5 +175,5 @@ def meetings(rows: DataFrame, keyed: Callable[[pa.RecordBatch], Iterator[tuple]]
         if total:
             yield from flush()
 
-    packed = rows.mapInArrow(pack, _PACKED)
+    packed = rows.mapInArrow(tidy(pack), _PACKED)
     return packed.groupBy("bucket").applyInArrow(_meet(most), _PAIRS).where(F.col("u") > F.col("v"))

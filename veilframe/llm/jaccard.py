@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import discard, light, mix64, release, small_batches, stored, window_hashes, word_hashes, words_of
+from veilframe.llm.common import discard, light, mix64, release, small_batches, stored, tidy, window_hashes, word_hashes, words_of
 from veilframe.llm.exchange import ROWS, buckets_for, meetings
 from veilframe.llm.graph import components
 
@@ -372,7 +372,7 @@ def _element_sets(base: DataFrame, prepared: DataFrame, wanted: DataFrame, n: in
     wanted = light(stored(wanted, "wanted"))
     with small_batches(base.sparkSession, ROWS):
         sets = stored(
-            base.join(wanted, "doc_id").mapInArrow(_sets(n), "id long, elements binary, n_bytes long, again boolean"), "elements"
+            base.join(wanted, "doc_id").mapInArrow(tidy(_sets(n)), "id long, elements binary, n_bytes long, again boolean"), "elements"
         )
     once = sets.where("not again").select("id", "elements", "n_bytes")
     return once.union(sets.where("again").select("id", "elements", "n_bytes").dropDuplicates(["id"])), sets
@@ -393,7 +393,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with small_batches(spark, ROWS):
-        prepared = stored(base.mapInArrow(_digests(n), "doc_id long, n_shingles long, node long"), "sets")
+        prepared = stored(base.mapInArrow(tidy(_digests(n)), "doc_id long, n_shingles long, node long"), "sets")
     named = base.where("doc_id is not null")
     rows, elements = prepared.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     keys = 4 * rows + 3 * elements * (den - num) // (den + num)
@@ -441,7 +441,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 def _large_clusters(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links that connect the linked sets (id, elements, n_bytes) of clusters too large to be compared as a whole."""
     spark = sets.sparkSession
-    keys = sets.select("id", "elements").mapInArrow(_keys(num, den), "key long, id long").repartition("key")
+    keys = sets.select("id", "elements").mapInArrow(tidy(_keys(num, den)), "key long, id long").repartition("key")
     shared = keys.groupBy("key").agg(F.min("id").alias("probe"), F.max("id").alias("last")).where("probe < last")
     members, links, rest = stored(keys.join(shared.select("key", "probe"), "key"), "members"), None, True
     for _ in range(STAR_ROUNDS):
@@ -450,7 +450,7 @@ def _large_clusters(sets: DataFrame, num: int, den: int) -> DataFrame:
             sets.select(F.col("id").alias("probe"), F.col("elements").alias("probe_set")), "probe"
         )
         with small_batches(spark, TREE_SETS):
-            found = stored(probed.mapInArrow(_probe(num, den), "u long, v long"), "found")
+            found = stored(probed.mapInArrow(tidy(_probe(num, den)), "u long, v long"), "found")
         del probed
         release(spark)
         links = found if links is None else links.union(found)
@@ -515,4 +515,4 @@ def _block_join(members: DataFrame, sets: DataFrame, num: int, den: int, counts:
     )
     # against another block, a set of the first probes the second's tree; the block's own pairs are (a, a)
     together = spread.join(sets.select("id", "elements"), "id").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side", "id")
-    return together.mapInArrow(_blocks(num, den, counts), "u long, v long, n long")
+    return together.mapInArrow(tidy(_blocks(num, den, counts)), "u long, v long, n long")

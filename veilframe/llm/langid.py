@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.llm.common import tidy
+
 #: Lengths of n-grams, in bytes.
 SPECTRUM = (1, 2, 3, 4)
 #: N-grams are hashed to so many slots (2 ** SLOT_BITS), each present or absent.
@@ -147,7 +149,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return base.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame) -> DataFrame:
@@ -167,7 +169,7 @@ def with_language(docs: DataFrame) -> DataFrame:
                 found = [bool(t and _LETTER.search(t)) for t in texts]
             yield batch.filter(pa.array(found, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

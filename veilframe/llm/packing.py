@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import stored
+from veilframe.llm.common import stored, tidy
 from veilframe.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -161,7 +161,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = stored(
         base.mapInArrow(
-            _pieces(path, capacity, end_id),
+            tidy(_pieces(path, capacity, end_id)),
             "doc_id long, piece int, start long, length long, ids_crc32 long, part int, own_rank long",
         ),
         "pieces",
@@ -186,6 +186,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
         pieces.join(base_rank, ["length", "part"])
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("own_rank")).alias("rank"))
         .mapInArrow(
-            find, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+            tidy(find), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
         )
     )
