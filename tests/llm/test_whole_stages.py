@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -62,3 +63,23 @@ def test_deep_pages_do_not_recurse():
     page = "<html><body>" + "<div>" * 3000 + "<p>some running text of the article</p>" + "</div>" * 3000 + "</body></html>"
     assert pages.extract(page, "html>body>section") == "some running text of the article"
     assert pages.extract(page, "html>body>div") == "some running text of the article"
+
+
+RUNNING = "some running text of the article that is long enough"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="layout has-sidebar"><article><p>{RUNNING}</p></article><div class="sidebar"><p>links</p></div></div>', RUNNING),
+        (f'<article><div class="entry-header"><h1>Title</h1></div><p>{RUNNING}</p></article>', f"Title\n{RUNNING}"),
+        (f'<div id="story-with-related"><h1>T</h1><p>{RUNNING}</p><div class="related"><p>more</p></div></div>', f"T\n{RUNNING}"),
+        (f'<div class="post has-comments"><h1>T</h1><p>{RUNNING}</p><div class="comments"><p>{RUNNING * 5}</p></div></div>', f"T\n{RUNNING}"),
+        # these stay condemned
+        (f'<div class="header"><h1>Site</h1></div><article><p>{RUNNING}</p></article>', RUNNING),
+        (f'<article><p>{RUNNING}</p></article><div class="comments"><article class="comment"><p>{RUNNING * 5}</p></article></div>', RUNNING),
+        (f'<article><header><h1>Title</h1></header><p>{RUNNING}</p></article><div class="sidebar"><p>{RUNNING * 5}</p></div>', RUNNING),
+    ],
+)
+def test_class_words_yield_to_the_article(page, text):
+    assert pages.extract(f"<html><body>{page}</body></html>", None) == text

@@ -61,21 +61,25 @@ def host_of(url: str | None) -> str:
 
 
 class _Node:
-    __slots__ = ("path", "tag", "parent", "noise", "weight", "score", "blocks", "depth")
+    __slots__ = ("path", "tag", "parent", "noise", "out", "named", "title", "body", "chars", "weight", "score", "depth")
 
-    def __init__(self, tag: str, words: list[str], parent: _Node | None, noise: bool):
+    def __init__(self, tag: str, words: list[str], parent: _Node | None, out: bool = False, named: frozenset | set = frozenset()):
         step = ".".join([tag, *sorted(set(words))[:4]])
         if parent is None or parent.path == step or parent.path.endswith(f">{step}"):
             self.path = step if parent is None else parent.path
         else:
             self.path = f"{parent.path}>{step}"
-        self.tag, self.parent, self.noise = tag, parent, noise
+        self.tag, self.parent = tag, parent
+        # out: no article by its tag, role or being hidden; named: its class and id words that speak against it
+        self.out, self.named = out or parent is not None and parent.out, named
+        self.noise = self.out or bool(named) or parent is not None and parent.noise
+        self.title = self.body = False
+        self.chars = 0
         self.depth = 0 if parent is None else parent.depth + 1
         self.weight = {"article": 1.5, "main": 1.4, "body": 0.6, "html": 0.5}.get(tag, 1.0)
         if tag not in ("body", "html") and CONTENT_WORDS & set(words):
             self.weight *= 1.2
         self.score = 0.0
-        self.blocks: tuple[int, int] | None = None
 
 
 def _attributes(raw: str) -> tuple[list[str], list[str], bool]:
@@ -98,7 +102,7 @@ def _attributes(raw: str) -> tuple[list[str], list[str], bool]:
 
 def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
     """Containers, and blocks (container, text, characters that are no link) of a page in page order."""
-    root = _Node("", [], None, False)
+    root = _Node("", [], None)
     nodes, blocks, stack = [root], [], [root]
     pieces: list[str] = []
     linked = skip = in_link = 0
@@ -108,7 +112,7 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
         nonlocal linked, skip
         if pieces:
             text = " ".join("".join(pieces).split())
-            if text and not skip and not stack[-1].noise:
+            if text and not skip and not stack[-1].out:
                 blocks.append((stack[-1], text, max(0, len(text) - linked)))
             pieces.clear()
         linked = skip = 0
@@ -146,8 +150,9 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
                     stack.pop()
             classes, ids, out = _attributes(raw) if raw else ([], [], False)
             bad = COMMENT_WORDS if name in ("article", "main") else NOISE_WORDS
-            noise = name not in ("html", "body") and (out or name in NOISE_TAGS or bool(bad & {*classes, *ids}))
-            node = _Node(name, classes, stack[-1], noise or stack[-1].noise)
+            whole = name in ("html", "body")
+            node = _Node(name, classes, stack[-1], not whole and (out or name in NOISE_TAGS), set() if whole else bad & {*classes, *ids})
+            node.body = name in ("article", "main")
             nodes.append(node)
             if not raw.endswith("/"):
                 stack.append(node)
@@ -157,15 +162,46 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
                 at = end.end() if end else len(page)
         elif name in BREAKS:
             flush()
+            if not closing and name == "h1":
+                stack[-1].title = True
             if not closing and raw:
                 classes, ids, out = _attributes(raw)
-                skip = int(out or bool(NOISE_WORDS & {*classes, *ids}))
+                skip = int(out or name != "h1" and bool(NOISE_WORDS & {*classes, *ids}))
         elif name == "br":
             pieces.append(" ")
         elif name == "a":
             in_link = 0 if closing else 1
     flush()
-    return nodes, blocks
+    _judge(nodes, blocks)
+    return nodes, [b for b in blocks if not b[0].noise]
+
+
+def _judge(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
+    """Clear containers that only their names speak against where they hold the article.
+
+    That is one with an h1 or an article element, and over half of the page's running text; and one with
+    an h1 inside an article. Where comment words speak against it, it must hold an h1, and without one its
+    text does not count.
+    """
+    if not any(n.named and not n.out for n in nodes):
+        return
+    for node, _, chars in blocks:
+        node.chars += chars
+    for node in reversed(nodes):  # those inside come after those around them
+        comments = bool(COMMENT_WORDS & node.named) and not node.title
+        if node.parent is not None and not node.out and not comments:
+            node.parent.title |= node.title
+            node.parent.chars += node.chars
+            node.parent.body |= node.body
+    half = nodes[0].chars / 2
+    inside = set()
+    for node in nodes[1:]:
+        up = node.parent
+        held = node.title or node.body and not COMMENT_WORDS & node.named
+        clear = held and node.chars > half or node.title and id(up) in inside
+        node.noise = up.noise or node.out or bool(node.named) and not clear
+        if not node.noise and (id(up) in inside or node.tag in ("article", "main")):
+            inside.add(id(node))
 
 
 def score(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
@@ -243,7 +279,8 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     text is the article's blocks, white space in each made one space, joined by line ends; '' for null or
     empty html and where there is no text outside menus, headers, footers, asides, forms, adverts and
-    comments. A url without a host shares one host with its like. Other columns are ignored.
+    comments; header elements go with their titles, inside an article too. Words of class names and ids
+    (see _judge) do not condemn a container that holds the article. A url without a host shares one host with its like. Other columns are ignored.
     """
     spark = pages.sparkSession
     base = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
