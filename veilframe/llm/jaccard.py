@@ -20,8 +20,8 @@ A document is the set of its distinct n-word shingles, kept as 64-bit hashes in
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -259,7 +259,7 @@ def _digests(n: int):
     return run
 
 
-def _routed(n: int, num: int, den: int):
+def _routed(n: int, route: Callable[[np.ndarray], np.ndarray]):
     """(node, routing keys, None) of the different sets of a batch of texts."""
 
     def run(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -269,7 +269,7 @@ def _routed(n: int, num: int, den: int):
             node = _digest(elements.tobytes())
             if len(elements) and node not in seen:
                 seen.add(node)
-                yield node, routing_keys(elements, num, den), None
+                yield node, route(elements), None
 
     return run
 
@@ -293,11 +293,11 @@ def _sets(n: int):
     return run
 
 
-def _keys(num: int, den: int):
+def _keys(route: Callable[[np.ndarray], np.ndarray]):
     def run(batches):
         for batch in batches:
             for own, raw in zip(batch.column("id").to_pylist(), batch.column("elements").to_pylist(), strict=True):
-                keys = np.unique(routing_keys(np.frombuffer(raw, np.uint64), num, den).view(np.int64))
+                keys = np.unique(route(np.frombuffer(raw, np.uint64)).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), own, np.int64))], ["key", "id"])
 
     return run
@@ -378,7 +378,10 @@ def _element_sets(base: DataFrame, prepared: DataFrame, wanted: DataFrame, n: in
     return once.union(sets.where("again").select("id", "elements", "n_bytes").dropDuplicates(["id"])), sets
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, count_links: bool = True) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, count_links: bool = True,
+    route: Callable[[np.ndarray], np.ndarray] | None = None, route_keys: int = 0,
+) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id and, if asked for, n_links.
 
     Two documents link when den * |A & B| >= num * |A | B| over their sets of distinct n-word
@@ -389,6 +392,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     Null texts and texts without words have n_shingles 0 and link with nothing. Rows repeated as a
     whole have equal results; different texts under one doc_id are documents of their own; null
     doc_ids keep a null component_id. Other columns are ignored.
+
+    route gives the keys, about route_keys of them, by which a set (its sorted hashes) meets those it may link
+    with; without it routing_keys does, which lose no link.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -396,9 +402,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         prepared = stored(base.mapInArrow(tidy(_digests(n)), "doc_id long, n_shingles long, node long"), "sets")
     named = base.where("doc_id is not null")
     rows, elements = prepared.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    keys = 4 * rows + 3 * elements * (den - num) // (den + num)
+    keys = rows * route_keys if route else 4 * rows + 3 * elements * (den - num) // (den + num)
+    route = route or partial(routing_keys, num=num, den=den)
     with small_batches(spark, ROWS):
-        met = stored(meetings(named, _routed(n, num, den), buckets_for(keys)).select("u", "v").distinct(), "met")
+        met = stored(meetings(named, _routed(n, route), buckets_for(keys)).select("u", "v").distinct(), "met")
     clusters = components(met)
     discard(met)
     reps = prepared.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
@@ -415,7 +422,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     links = found.where("v is not null").select("u", "v")
     if not large.isEmpty():
         inside = clusters.join(large, "component", "left_semi").select(F.col("node").alias("id"))
-        links = links.union(_large_clusters(sets.join(inside, "id"), num, den))
+        links = links.union(_large_clusters(sets.join(inside, "id"), num, den, route))
 
     labels = components(links)
     discard(table)
@@ -438,10 +445,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     return some.union(none)
 
 
-def _large_clusters(sets: DataFrame, num: int, den: int) -> DataFrame:
+def _large_clusters(sets: DataFrame, num: int, den: int, route: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Links that connect the linked sets (id, elements, n_bytes) of clusters too large to be compared as a whole."""
     spark = sets.sparkSession
-    keys = sets.select("id", "elements").mapInArrow(tidy(_keys(num, den)), "key long, id long").repartition("key")
+    keys = sets.select("id", "elements").mapInArrow(tidy(_keys(route)), "key long, id long").repartition("key")
     shared = keys.groupBy("key").agg(F.min("id").alias("probe"), F.max("id").alias("last")).where("probe < last")
     members, links, rest = stored(keys.join(shared.select("key", "probe"), "key"), "members"), None, True
     for _ in range(STAR_ROUNDS):
