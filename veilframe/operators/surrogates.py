@@ -1,19 +1,18 @@
-"""Replacement of identifying mentions, the same in a whole scope, and the checks that it kept what it must."""
+"""Replacement of identifying mentions, the same in a whole scope, refusals, and the checks of what must be kept."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.dates import cap_age, parse_date, render_date, shape_of, weekday_name
-from veilframe.functions.keyed import first_bits, scope_keys, shift_days
-from veilframe.functions.text import address_surrogate, is_generic, rotate_digits
-
-FIRST_NAMES = "Alba Bruno Celia Dario Elin Felix Greta Hugo Ines Jonas Karla Lars Mira Nils Olga Pavel".split()
-LAST_NAMES = "Abend Birke Corvin Dahl Ekström Falk Grünwald Holm Ivers Jansen Kestrel Lindgren Moravec Norden Olsson Pirelli".split()
-PLACES = "Ahlen Brisk Corvara Delmora Eskby Farnholt Gotha Hovden".split()
+from veilframe.functions import vocabulary as V
+from veilframe.functions.dates import cap_age, parse_date, weekday_name
+from veilframe.functions.keyed import scope_keys, shift_days
+from veilframe.functions.text import is_entity_type, is_generic
+from veilframe.operators import profiles, relative
+from veilframe.operators.shared import kept
 
 
 @dataclass(frozen=True)
@@ -24,45 +23,66 @@ class Policy:
     age_cap: int = 90
 
 
+@dataclass(frozen=True)
+class Run:
+    """docs(doc_id, scope_id, text, mentions) of the scopes that passed, report of those that were worked on, and
+    refused(scope_id, doc_id, reason): one row for each reason, doc_id null where it lies in the scope as a whole."""
+
+    docs: DataFrame
+    report: DataFrame
+    refused: DataFrame
+
+
+_NAMED = ("PATIENT", "INVESTIGATOR", "SITE", "LOCATION", "ID", "CONTACT")
+
+
+def with_forms(docs: DataFrame, mentions: DataFrame, secret: bytes) -> DataFrame:
+    """Mentions with their scope, its key, their text (old) and who: the entity, or the text itself where that is null."""
+    keyed = docs.select("doc_id", "scope_id", "text", scope_keys(secret)(F.col("scope_id")).alias("key"))
+    each = mentions.select("doc_id", "start", "end", "type", "entity_id").join(keyed, "doc_id")
+    each = each.withColumn("old", F.expr("substring(text, int(start) + 1, int(end - start))")).drop("text")
+    return each.withColumn("who", F.coalesce(F.col("entity_id").cast("string"), F.concat(F.lit("~"), F.lower("old"))))
+
+
+def form_table(each: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """(scope_id, type, who, old, n, new, note): what every distinct text of an entity becomes in its scope.
+
+    each: rows of with_forms. Notes: generic, capped, month, dropped, unparsed, unclassified or null.
+    """
+    forms = each.groupBy("scope_id", "key", "type", "who", "old").agg(F.count("*").alias("n"))
+    forms = kept(forms.where("old is not null"), "forms")
+    plain = ~is_generic(F.col("old")) | F.col("type").isin("DATE", "AGE")
+    shift = shift_days(F.sha2(F.concat_ws("|", "key", F.lit("date-shift")), 256), policy.min_weeks, policy.max_weeks, policy.direction)
+    dates = relative.rendered(forms.where("type = 'DATE'").select("scope_id", "who", "old", "n", shift.alias("shift")))
+    dates = dates.select("scope_id", F.lit("DATE").alias("type"), "who", "old", "new", "note")
+    aged = cap_age(F.col("old"), policy.age_cap)
+    ages = forms.where("type = 'AGE'").select("scope_id", "type", "who", "old", aged.alias("new"), F.when(aged != F.col("old"), "capped").alias("note"))
+    generic = forms.where(~plain).select("scope_id", "type", "who", "old", F.col("old").alias("new"), F.lit("generic").alias("note"))
+    named = profiles.surrogates(forms.where(plain & F.col("type").isin(*_NAMED)))
+    every = dates.unionByName(ages).unionByName(generic).unionByName(named)
+    out = forms.select("scope_id", "type", "who", "old", "n").join(every, ["scope_id", "type", "who", "old"], "left")
+    # what no rule wrote anew must not pass
+    return kept(out.withColumn("note", F.when(F.col("new").isNull(), "unparsed").otherwise(F.col("note"))), "form-table")
+
+
 def deidentify(docs: DataFrame, mentions: DataFrame, secret: bytes, policy: Policy = Policy()) -> DataFrame:
     """(doc_id, scope_id, text, mentions): mentions replaced, everything between them unchanged.
 
-    docs(doc_id, scope_id, text), mentions(doc_id, start, end, type, entity_id), spans apart. Surrogates
-    derive from HMAC(HMAC(secret, scope), entity), so a scope is consistent without meeting in one task;
-    names and places that collide within a scope get a number, and none is made of a word that stands in
-    one of the scope's own mentions. Dates move by the scope's whole weeks.
+    docs(doc_id, scope_id, text), mentions(doc_id, start, end, type, entity_id), spans apart and inside their text
+    (run refuses others). A scope is consistent: a form of an entity has one surrogate, all forms of a person tell
+    one name, a site follows its city, numbers of sites agree with those in ids, dates move by the scope's whole
+    weeks. Surrogates derive from HMAC(secret, scope) and the entity, and are held apart by joins, so no scope meets
+    in one task. Mentions without an entity are known by their text. A document without mentions, or with a null
+    text, stays as it is.
     """
-    keyed = docs.select("doc_id", "scope_id", "text", scope_keys(secret)(F.col("scope_id")).alias("key"))
-    each = mentions.join(keyed, "doc_id").withColumn("old", F.expr("substring(text, int(start) + 1, int(end - start))"))
-    each = each.withColumn("digest", F.sha2(F.concat_ws("|", "key", "type", "entity_id"), 256))
-    bits = first_bits(F.col("digest"))
-    # of a scope's own words only those in a pool are kept, so its list is bounded
-    atoms = each.where(~F.col("type").isin("DATE", "AGE")).select("scope_id", F.explode(F.split(F.lower("old"), r"[^\p{L}\p{N}]+")).alias("word"))
-    pools = [w.lower() for w in FIRST_NAMES + LAST_NAMES + PLACES]
-    own = atoms.where(F.col("word").isin(pools)).groupBy("scope_id").agg(F.collect_set("word").alias("own_words"))
-    named = each.where(F.col("type").isin("PATIENT", "INVESTIGATOR", "SITE", "LOCATION")).join(own, "scope_id", "left")
-    pick = lambda pool, n: _fresh(pool, n, F.col("own_words"), F.col("digest"))
-    stem = F.when(F.col("type").isin("PATIENT", "INVESTIGATOR"), F.concat_ws(" ", pick(FIRST_NAMES, bits), pick(LAST_NAMES, F.shiftright(bits, 20))))
-    stem = stem.otherwise(F.concat(pick(PLACES, bits), F.when(F.col("type") == "SITE", " Clinic").otherwise("")))
-    names = named.select("scope_id", "type", "entity_id", stem.alias("stem")).distinct()
-    rank = F.row_number().over(Window.partitionBy("scope_id", "stem").orderBy("type", "entity_id"))
-    names = names.withColumn("again", rank).select(
-        "scope_id", "type", "entity_id",
-        F.when(F.col("again") == 1, F.col("stem")).otherwise(F.concat_ws(" ", "stem", F.col("again").cast("string"))).alias("name"),
-    )
-    shift = shift_days(F.sha2(F.concat_ws("|", "key", F.lit("date-shift")), 256), policy.min_weeks, policy.max_weeks, policy.direction)
-    day = parse_date(F.col("old"))
-    new = (
-        F.when(is_generic(F.col("old")), F.col("old"))
-        .when((F.col("type") == "DATE") & day.isNotNull(), render_date(F.date_add(day, shift), shape_of(F.col("old"))))
-        .when(F.col("type") == "AGE", cap_age(F.col("old"), policy.age_cap))
-        .when((F.col("type") == "CONTACT") & F.col("old").contains("@"), address_surrogate(F.col("old"), F.col("digest")))
-        .when(F.col("type").isin("ID", "CONTACT"), rotate_digits(F.col("old"), bits))
-        .when(F.col("name").isNotNull(), F.col("name"))
-        .otherwise(F.col("old"))
-    )
-    done = each.join(names, ["scope_id", "type", "entity_id"], "left").select(
-        "doc_id", F.struct("start", "end", new.alias("new"), "old", "type", "entity_id").alias("m")
+    each = kept(with_forms(docs, mentions, secret), "mentions")
+    return replaced(docs, each, form_table(each, policy))
+
+
+def replaced(docs: DataFrame, each: DataFrame, table: DataFrame) -> DataFrame:
+    """Documents with the new texts of their mentions, whose places are counted in the new text."""
+    done = each.join(table.select("scope_id", "type", "who", "old", "new"), ["scope_id", "type", "who", "old"]).select(
+        "doc_id", F.struct("start", "end", F.coalesce("new", "old").alias("new"), "old", "type", "entity_id").alias("m")
     )
     lists = done.groupBy("doc_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
     out = docs.join(lists, "doc_id", "left").withColumn("ms", F.coalesce("ms", F.expr("cast(array() as " + _LIST + ")")))
@@ -77,13 +97,64 @@ def deidentify(docs: DataFrame, mentions: DataFrame, secret: bytes, policy: Poli
     )
 
 
-def _fresh(pool: list[str], n: Column, own_words: Column, digest: Column) -> Column:
-    """A word of the pool that is none of the scope's own; letters of the digest where all of them are."""
-    words = F.array(*map(F.lit, pool))
-    left = F.coalesce(F.filter(words, lambda w: ~F.array_contains(own_words, F.lower(w))), words)
-    left = F.when(own_words.isNull(), words).otherwise(left)
-    made = F.initcap(F.translate(F.substring(digest, 1, 12), "0123456789abcdef", "bcdfghjklmnprstv"))
-    return F.when(F.size(left) > 0, F.element_at(left, (n % F.greatest(F.size(left), F.lit(1)) + 1).cast("int"))).otherwise(made)
+def problems(docs: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(scope_id, doc_id, reason) of mentions that cannot be replaced: unknown_type, out_of_range, overlap."""
+    each = mentions.select("doc_id", "start", "end", "type").join(docs.select("doc_id", "scope_id", F.length("text").alias("size")), "doc_id")
+    before = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("size"))
+    each = each.withColumn("reached", F.max("end").over(before))
+    reason = (
+        F.when(~F.coalesce(is_entity_type(F.col("type")), F.lit(False)), "unknown_type").when(~F.coalesce(ranged, F.lit(False)), "out_of_range")
+        .when(F.col("start") < F.col("reached"), "overlap")
+    )
+    return each.select("scope_id", "doc_id", reason.alias("reason")).where("reason is not null").distinct()
+
+
+def run(docs: DataFrame, mentions: DataFrame, secret: bytes, policy: Policy = Policy()) -> Run:
+    """Whole scopes or nothing: a scope with a mention that cannot be replaced, a date that cannot be read, or an
+    original that is still in an output is refused, and no document of it is given out."""
+    bad = kept(problems(docs, mentions), "problems")
+    scopes = bad.select("scope_id").distinct()
+    good = docs.join(scopes, "scope_id", "left_anti").select("doc_id", "scope_id", "text")
+    each = kept(with_forms(good, mentions, secret), "mentions")
+    table = form_table(each, policy)
+    out = kept(replaced(good, each, table), "replaced")
+    left = kept(residual_hits(each.select("scope_id", F.col("old").alias("text"), "type"), out), "residual")
+    report = kept(scope_report(good, each, table, left), "report")
+    failed = report.where("not ok")
+    dates = failed.where("n_unparsed > 0").select("scope_id", F.lit("unparsed_date").alias("reason"))
+    seen = left.join(failed.select("scope_id"), "scope_id", "left_semi").select("scope_id", "doc_id").distinct()
+    refused = bad.unionByName(dates.select("scope_id", F.lit(None).cast(dict(bad.dtypes)["doc_id"]).alias("doc_id"), "reason"))
+    refused = refused.unionByName(seen.select("scope_id", "doc_id", F.lit("residual").alias("reason")))
+    return Run(out.join(failed.select("scope_id"), "scope_id", "left_anti").select("doc_id", "scope_id", "text", "mentions"), report, refused)
+
+
+def scope_report(docs: DataFrame, each: DataFrame, table: DataFrame, left: DataFrame) -> DataFrame:
+    """One row a scope: documents, entities, mentions, forms by their notes, residual hits, and ok."""
+    notes = ("generic", "capped", "month", "dropped", "unparsed", "unclassified")
+    counted = table.groupBy("scope_id").agg(
+        F.countDistinct("who").alias("n_entities"), *(F.sum(F.when(F.col("note") == x, F.col("n")).otherwise(0)).alias(f"n_{x}") for x in notes)
+    )
+    sizes = each.groupBy("scope_id").agg(F.count("*").alias("n_mentions"))
+    hits = left.groupBy("scope_id").agg(F.count("*").alias("n_residual"))
+    out = docs.groupBy("scope_id").agg(F.count("*").alias("n_docs")).join(sizes, "scope_id", "left").join(counted, "scope_id", "left").join(hits, "scope_id", "left")
+    names = ["n_docs", "n_mentions", "n_entities", *(f"n_{x}" for x in notes), "n_residual"]
+    out = out.select("scope_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names))
+    return out.withColumn("ok", (F.col("n_unparsed") == 0) & (F.col("n_residual") == 0))
+
+
+def publish(result: Run, path: str) -> None:
+    """Documents, report and refusals under path, which appears only when all three are whole."""
+    spark = result.docs.sparkSession
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(top):
+        raise ValueError(f"{path} is there already")
+    draft = f"{path.rstrip('/')}.draft"
+    for name, df in (("docs", result.docs), ("report", result.report), ("refused", result.refused)):
+        df.write.mode("overwrite").parquet(f"{draft}/{name}")
+    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(draft), top):
+        raise OSError(f"{draft} could not become {path}")
 
 
 _LIST = "array<struct<start: bigint, end: bigint, new: string, old: string, type: string, entity_id: string>>"
@@ -102,10 +173,14 @@ def _step(a, m):
     )
 
 
-def _pieces(text: Column) -> Column:
-    """Lower-cased words of two characters or more, and runs of three digits or more, of a text."""
+#: Words that a name shares with any text, and that do not tell an original.
+EXEMPT = sorted({*V.TITLES, *V.INSTITUTION_WORDS, *(w.lower() for c in V.COUNTRIES for w in c.split()), "of", "and", "in", "de", "la"})
+
+
+def _pieces(text):
+    """Lower-cased words of two characters or more but exempt ones, and runs of three digits or more, of a text."""
     low = F.lower(text)
-    words = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
+    words = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*EXEMPT))
     return F.array_distinct(F.concat(words, F.regexp_extract_all(low, F.lit("([0-9]{3,})"), 1)))
 
 
@@ -113,13 +188,14 @@ def residual_hits(before: DataFrame, after: DataFrame) -> DataFrame:
     """(scope_id, doc_id, word): pieces of original mentions that stand in an output document of their scope.
 
     Dates, ages and generic references apart, a piece is a word of two characters or more, in any case, or a run
-    of three digits or more, so a surviving phrase shows by its words. before(scope_id, text, type),
-    after(scope_id, doc_id, text); pieces meet in an equi-join. Null texts have no pieces.
+    of three digits or more, so a surviving phrase shows by its words; titles, words of institutions, countries and
+    the 555 of a telephone number are none. before(scope_id, text, type), after(scope_id, doc_id, text); pieces meet
+    in an equi-join. Null texts have no pieces.
     """
     named = before.where(~F.col("type").isin("DATE", "AGE") & ~is_generic(F.col("text")))
-    pieces = named.select("scope_id", F.explode(_pieces(F.col("text"))).alias("word")).distinct()
+    pieces = named.select("scope_id", "type", F.explode(_pieces(F.col("text"))).alias("word")).where("type <> 'CONTACT' or word <> '555'")
     seen = after.select("scope_id", "doc_id", F.explode(_pieces(F.col("text"))).alias("word")).distinct()
-    return seen.join(pieces, ["scope_id", "word"]).select("scope_id", "doc_id", "word")
+    return seen.join(pieces.select("scope_id", "word").distinct(), ["scope_id", "word"]).select("scope_id", "doc_id", "word")
 
 
 def utility(before: DataFrame, after: DataFrame) -> DataFrame:
