@@ -65,10 +65,10 @@ def prose_interval(days: Column, anchor: Column) -> Column:
     return F.concat_ws(" ", number_word(n), unit, side, F.lit("the"), F.date_format(anchor, "MMMM"), F.lit("visit"))
 
 
-def cap_age(text: Column, cap: int = 90) -> Column:
-    """The first number, if the cap or more, becomes '<cap>+'; the rest of the text stays."""
+def cap_age(text: Column, cap: int = 90, label: str | None = None) -> Column:
+    """The first number, if the cap or more, becomes the label, '<cap>+' by default; the rest of the text stays."""
     first = F.regexp_extract(text, r"(\d+)", 1)
     return F.when(
         (first != "") & (first.try_cast("int") >= cap),
-        F.regexp_replace(text, r"^(\D*)\d+(?s:(.*))$", rf"$1{cap}+$2"),
+        F.regexp_replace(text, r"^(\D*)\d+(?s:(.*))$", "$1" + (label or f"{cap}+").replace("\\", "\\\\").replace("$", "\\$") + "$2"),
     ).otherwise(text)

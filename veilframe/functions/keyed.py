@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import hmac
 
 import pandas as pd
@@ -14,12 +15,12 @@ TEST_KEY = b"veilframe-public-test-key"
 
 def _pads(key: bytes) -> tuple[bytes, bytes]:
     """Inner and outer pad of HMAC-SHA256 (RFC 2104)."""
-    block = key.ljust(64, b"\0")
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     return bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
 
 
 def hmac_hex(message: Column, key: bytes = TEST_KEY) -> Column:
-    """HMAC-SHA256 of a string column in hex, inside codegen; for public keys of at most 64 bytes."""
+    """HMAC-SHA256 of a string column in hex, inside codegen; for public keys."""
     inner, outer = _pads(key)
     digest = F.sha2(F.concat(F.lit(inner), message.cast("binary")), 256)
     return F.sha2(F.concat(F.lit(outer), F.unhex(digest)), 256)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions import vocabulary as V
@@ -17,10 +17,25 @@ from veilframe.operators.shared import kept
 
 @dataclass(frozen=True)
 class Policy:
+    """How types are handled: dates move by min_weeks to max_weeks, backward, forward or either way; ages of age_cap and
+    more become age_label, or are kept; a month that cannot be resolved is dropped or kept."""
+
     min_weeks: int = 4
     max_weeks: int = 52
-    direction: int = -1
+    direction: str = "backward"
+    age: str = "cap"
     age_cap: int = 90
+    age_label: str = "90+"
+    unresolved_month: str = "drop"
+    policy_id: str = "default"
+    version: int = 0
+
+    def shift(self, key: Column) -> Column:
+        """A scope's days, from its key."""
+        digest = F.sha2(F.concat_ws("|", key, F.lit("date-shift")), 256)
+        days = shift_days(digest, self.min_weeks, self.max_weeks, 1)
+        back = {"backward": F.lit(True), "forward": F.lit(False)}.get(self.direction, F.substring(digest, 60, 1).isin(*"01234567"))
+        return F.when(back, -days).otherwise(days)
 
 
 @dataclass(frozen=True)
@@ -52,10 +67,9 @@ def form_table(each: DataFrame, policy: Policy = Policy()) -> DataFrame:
     forms = each.groupBy("scope_id", "key", "type", "who", "old").agg(F.count("*").alias("n"))
     forms = kept(forms.where("old is not null"), "forms")
     plain = ~is_generic(F.col("old")) | F.col("type").isin("DATE", "AGE")
-    shift = shift_days(F.sha2(F.concat_ws("|", "key", F.lit("date-shift")), 256), policy.min_weeks, policy.max_weeks, policy.direction)
-    dates = relative.rendered(forms.where("type = 'DATE'").select("scope_id", "who", "old", "n", shift.alias("shift")))
+    dates = relative.rendered(forms.where("type = 'DATE'").select("scope_id", "who", "old", "n", policy.shift(F.col("key")).alias("shift")), policy.unresolved_month)
     dates = dates.select("scope_id", F.lit("DATE").alias("type"), "who", "old", "new", "note")
-    aged = cap_age(F.col("old"), policy.age_cap)
+    aged = cap_age(F.col("old"), policy.age_cap, policy.age_label) if policy.age == "cap" else F.col("old")
     ages = forms.where("type = 'AGE'").select("scope_id", "type", "who", "old", aged.alias("new"), F.when(aged != F.col("old"), "capped").alias("note"))
     generic = forms.where(~plain).select("scope_id", "type", "who", "old", F.col("old").alias("new"), F.lit("generic").alias("note"))
     named = profiles.surrogates(forms.where(plain & F.col("type").isin(*_NAMED)))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions import dates, keyed, text
-from veilframe.operators import contracts, metrics, receipts, spans, surrogates
+from veilframe.operators import contracts, metrics, receipts, relocate, spans, surrogates
+from veilframe.operators.shared import kept
 from veilframe.sources import synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,25 +308,51 @@ def bundle_entity_ids(spark, sf_dir):
     return ids.groupBy("conv_id", F.col("entity_id").alias("entity"), "new_id").agg(F.count("*").alias("n"))
 
 
-_OCC = "1 + len(list_filter(range(0, start), lambda i: substr(d.text, i + 1, length(m.text)) = m.text))"
+_PLACES_SQL = _M + """, nd AS (SELECT DISTINCT doc_id, text AS needle FROM m),
+pl AS (SELECT nd.doc_id, needle, list_filter(range(0, length(d.text) - length(needle) + 1), lambda i: d.text[i + 1:i + length(needle)] = needle) AS places
+  FROM nd JOIN d USING (doc_id) WHERE NOT regexp_matches(needle, '^[A-Z][a-z]+$')
+  UNION ALL SELECT doc_id, needle, list(CAST(place AS BIGINT) ORDER BY i) FROM (
+    SELECT doc_id, needle, i, sum(length(part) + length(needle)) OVER (PARTITION BY doc_id, needle ORDER BY i) - length(needle) AS place, count(*) OVER (PARTITION BY doc_id, needle) AS parts
+    FROM (SELECT nd.doc_id, needle, unnest(string_split(d.text, needle)) AS part, unnest(range(1, len(string_split(d.text, needle)) + 1)) AS i FROM nd JOIN d USING (doc_id) WHERE regexp_matches(needle, '^[A-Z][a-z]+$')))
+  WHERE i < parts GROUP BY doc_id, needle)"""
 
 
-@query(f"WITH {_M} SELECT m.doc_id, start, CAST({_OCC} AS BIGINT) AS n FROM m JOIN d USING (doc_id) WHERE type <> 'PATIENT'")
+def _indexed(docs, mentions):
+    """Each document's mentions ms, its different mention texts, and the places of each: the text travels once."""
+    lists = mentions.groupBy("doc_id").agg(F.collect_list(F.struct("text", "start", "type", "entity_id")).alias("ms"))
+    each = lists.join(docs.select("doc_id", "text"), "doc_id").withColumn("needles", F.array_distinct(F.transform("ms", lambda x: x["text"])))
+    return each.withColumn("index", relocate.occurrences("text", "needles"))
+
+
+def _own_places(x):
+    return F.element_at("index", F.array_position("needles", x["text"]).cast("int"))
+
+
+def _own_number(x):
+    return F.array_position(_own_places(x), x["start"])
+
+
+@query(f"WITH {_PLACES_SQL} SELECT m.doc_id, start, CAST(list_position(places, start) AS BIGINT) AS n FROM m JOIN pl ON m.doc_id = pl.doc_id AND m.text = needle")
 def occurrence_index(spark, sf_dir):
-    """Which occurrence of its own string a number or address is."""
+    """Which occurrence of its own text a mention is."""
     docs = _docs(spark, sf_dir)
-    m = spans.mentions(docs).where("type <> 'PATIENT'").join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id")
-    return m.select("doc_id", "start", text.occurrence_index("whole", "text", "start").alias("n"))
+    each = _indexed(docs, spans.mentions(docs)).select("doc_id", F.explode(F.transform("ms", lambda x: F.struct(x["start"].alias("start"), _own_number(x).alias("n")))).alias("x"))
+    return each.select("doc_id", "x.start", "x.n")
 
 
-@query(f"WITH {_M} SELECT type, count(*) AS n_mentions, count(*) AS n_found FROM m GROUP BY type")
+@query(f"""WITH {_PLACES_SQL}, a AS (SELECT type, start, places, list_position(places, start) AS n FROM m JOIN pl ON m.doc_id = pl.doc_id AND m.text = needle)
+SELECT type, count(*) AS n_mentions, count_if(places[n] = start) AS n_found, CAST(sum(n) AS BIGINT) AS sum_n, CAST(sum(coalesce(places[n + 1], -1)) AS BIGINT) AS sum_next FROM a GROUP BY type""")
 def nth_occurrence(spark, sf_dir):
-    """Anchors (string, n) lead back to the places they were made from."""
+    """Anchors (text, n) lead back to the places they were made from, and (text, n + 1) to the next ones."""
     docs = _docs(spark, sf_dir)
-    m = spans.mentions(docs).join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id")
-    m = m.withColumn("n", text.occurrence_index("whole", "text", "start"))
-    found = text.nth_occurrence("whole", "text", "n") == F.col("start")
-    return m.withColumn("found", found).groupBy("type").agg(F.count("*").alias("n_mentions"), F.count_if("found").alias("n_found"))
+    anchor = lambda x: F.struct(
+        x["type"].alias("type"), x["start"].alias("start"), _own_number(x).alias("n"), F.get(_own_places(x), (_own_number(x) - 1).cast("int")).alias("found"),
+        F.coalesce(F.get(_own_places(x), _own_number(x).cast("int")), F.lit(-1)).alias("next"),
+    )
+    each = _indexed(docs, spans.mentions(docs)).select(F.explode(F.transform("ms", anchor)).alias("x")).select("x.*")
+    return each.groupBy("type").agg(
+        F.count("*").alias("n_mentions"), F.count_if(F.col("found") == F.col("start")).alias("n_found"), F.sum("n").alias("sum_n"), F.sum("next").alias("sum_next")
+    )
 
 
 _LONGER = 'SELECT doc_id, start, "end" + doc_id % 7 AS "end" FROM m'
@@ -567,10 +594,15 @@ def positional_compare(spark, sf_dir):
 # Keyed orders and apportionment
 
 
-@query("""SELECT * FROM (VALUES ('single', 260::BIGINT), ('multi', 120::BIGINT), ('listing', 80::BIGINT), ('bundle', 40::BIGINT)) v(name, n)""")
+@query("""WITH c AS (SELECT c_mktsegment AS name, count(*) AS c FROM customer GROUP BY 1), t AS (SELECT sum(c) AS total FROM c),
+x AS (SELECT name, c / total * 997 AS exact FROM c, t), y AS (SELECT name, floor(exact) AS base, round(exact - floor(exact), 9) AS rest FROM x)
+SELECT name, CAST(base + CASE WHEN row_number() OVER (ORDER BY rest DESC, name) <= 997 - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS n FROM y""")
 def apportion(spark, sf_dir):
-    shares = spark.createDataFrame([("single", 0.52, 0), ("multi", 0.24, 1), ("listing", 0.16, 2), ("bundle", 0.08, 3)], "name string, share double, place int")
-    return metrics.apportion(shares, 500)
+    """997 places among market segments by their customers: whole parts, then the largest remainders."""
+    counts = _t(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("name")).agg(F.count("*").alias("c"))
+    total = counts.agg(F.sum("c").alias("total"))
+    shares = counts.crossJoin(F.broadcast(total)).select("name", (F.col("c") / F.col("total")).alias("share"), F.col("name").alias("place"))
+    return metrics.apportion(shares, 997)
 
 
 @query(f"SELECT p_partkey, row_number() OVER (ORDER BY {_hmac('CAST(p_partkey AS VARCHAR)')}) AS place FROM part")
@@ -600,48 +632,111 @@ def locale_inference(spark, sf_dir):
     )
 
 
-# End to end on generated documents: as many as there are rows in `documents`
+# End to end: a labelled narrative before the text of each document
+
+
+def _draw(name: str, n: int) -> str:
+    return f"{_bits(_hmac(chr(39) + name + chr(39) + ' || doc_id'))} % {n}"
+
+
+def _weighted(draw: str, choices) -> str:
+    upto, out = 0, []
+    for value, weight in choices:
+        upto += weight
+        out.append(f"WHEN {draw} < {upto} THEN {value!r}")
+    return "CASE " + " ".join(out) + " END"
+
 
+_GAP = {i: _weighted(_draw(f"gap{i}", sum(w for _, w in synthetic.GAPS)), synthetic.GAPS) for i in (1, 2, 3)}
+_KIND = _weighted(_draw("hard", sum(w for _, w in synthetic.HARD_CASES)), synthetic.HARD_CASES)
 
-def _generated(spark, sf_dir):
-    return synthetic.labelled_documents(spark, _t(spark, sf_dir, "documents").count())
 
+def _narratives(spark, sf_dir):
+    return kept(synthetic.narratives(_t(spark, sf_dir, "documents").select("doc_id", "text")), "narratives")
 
-@query("SELECT unnest(['offsets', 'overlaps', 'types', 'intervals']) AS gate, 0::BIGINT AS failures")
+
+@query(f"SELECT doc_id, {_KIND} AS hard_kind, CAST(DATE '2020-01-01' + CAST({_draw('day', 1500)} AS INTEGER) AS DATE) AS d1, {_GAP[1]} AS gap1, {_GAP[2]} AS gap2, {_GAP[3]} AS gap3 FROM documents")
+def weighted_draws(spark, sf_dir):
+    """Keyed weighted draws: the hard case of a document, and the gaps of its date chain."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", synthetic.hard_kind(F.col("doc_id")).alias("hard_kind"), synthetic.days_of(F.col("doc_id")).alias("days"))
+    day = lambda i: F.get("days", F.lit(i))
+    return d.select("doc_id", "hard_kind", day(0).alias("d1"), *(F.datediff(day(i), day(i - 1)).alias(f"gap{i}") for i in (1, 2, 3)))
+
+
+@query("SELECT 'b' || doc_id // 2 AS bundle_id, 11::BIGINT AS n_words, 6::BIGINT AS n_more, 0::BIGINT AS n_shared FROM documents GROUP BY ALL")
+def cast_words(spark, sf_dir):
+    """Words that each bundle's cast uses, those of two persons that join it, and how many these share with the cast."""
+    cast = synthetic.casts(_t(spark, sf_dir, "documents").select(F.concat(F.lit("b"), F.floor(F.col("doc_id") / 2).cast("string")).alias("bundle_id")))
+    words = synthetic.cast_words(cast)
+    more = synthetic.extended(cast, cast.select("bundle_id", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("member")))
+    pair = F.concat(F.substring("first", 1, 1), F.substring("last", 1, 1), F.lit("|"))
+    more = more.select("bundle_id", F.explode(F.transform(F.array("first", "last", pair), lambda w: F.lower(w))).alias("word"))
+    shared = more.join(words, ["bundle_id", "word"], "left_semi").groupBy("bundle_id").agg(F.count("*").alias("n_shared"))
+    out = words.groupBy("bundle_id").agg(F.countDistinct("word").alias("n_words")).join(more.groupBy("bundle_id").agg(F.countDistinct("word").alias("n_more")), "bundle_id")
+    return out.join(shared, "bundle_id", "left").fillna(0, "n_shared")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM documents) SELECT gate, CASE gate WHEN 'dates' THEN 4 WHEN 'hard_cases' THEN 1 WHEN 'paragraphs' THEN 1 ELSE 14 END * n AS n_checked, 0::BIGINT AS failures
+FROM n, (SELECT unnest(['offsets', 'overlaps', 'types', 'dates', 'hard_cases', 'paragraphs']) AS gate)""")
 def generate_gates(spark, sf_dir):
-    return synthetic.gates(_generated(spark, sf_dir))
+    """What was checked of the generated narratives, and what failed."""
+    docs = _narratives(spark, sf_dir)
+    sizes = docs.agg(F.sum(F.size("mentions")).alias("offsets"), F.sum(F.size("days")).alias("dates"), F.count("*").alias("hard_cases"))
+    gate = F.col("gate")
+    n = F.when(gate == "dates", F.col("dates")).when(gate.isin("hard_cases", "paragraphs"), F.col("hard_cases")).otherwise(F.col("offsets"))
+    return synthetic.gates(docs).crossJoin(F.broadcast(sizes)).select("gate", n.cast("long").alias("n_checked"), "failures")
+
+
+@query(f"SELECT {_KIND} AS hard_kind, count(*) AS n_docs, count(*) AS n_proved FROM documents GROUP BY 1")
+def hard_cases(spark, sf_dir):
+    """Planned hard cases, and those that the text itself proves."""
+    return synthetic.proved(_narratives(spark, sf_dir)).groupBy("hard_kind").agg(F.count("*").alias("n_docs"), F.count_if("proved").alias("n_proved"))
+
+
+@query(f"""SELECT doc_id, CAST(3 + len(string_split(coalesce(text, ''), chr(10) || chr(10))) AS BIGINT) AS n_paragraphs, CAST(CASE WHEN {_KIND} = 'month' THEN 2 ELSE 3 END AS BIGINT) AS n_with FROM documents""")
+def paragraph_spread(spark, sf_dir):
+    """Paragraphs of each narrative, and those in which its patient is mentioned."""
+    return synthetic.paragraph_spread(_narratives(spark, sf_dir))
 
 
 def _run(spark, sf_dir):
-    docs = _generated(spark, sf_dir).withColumn("scope_id", F.col("bundle_id"))
+    docs = _narratives(spark, sf_dir).withColumn("scope_id", F.col("bundle_id"))
     before = docs.select("doc_id", "scope_id", F.posexplode("mentions").alias("ord", "m")).select("doc_id", "scope_id", "ord", "m.*")
-    out = surrogates.deidentify(docs.select("doc_id", "scope_id", "text"), before.drop("ord", "text", "scope_id"), keyed.TEST_KEY)
-    return docs, before, out
+    return docs, before, surrogates.run(docs.select("doc_id", "scope_id", "text"), before.drop("ord", "text", "scope_id"), keyed.TEST_KEY)
+
 
+_AGE = f"{_draw('age', 80)} + 18"
 
-@query("""WITH n AS (SELECT unnest(range(0, (SELECT count(*) FROM documents))) AS i) SELECT 'b' || i // 2 AS scope_id, 6 * count(*) AS n_mentions, 6 * count(*) AS n_kept, 1::BIGINT AS n_shifts, 0::BIGINT AS n_weekdays, true AS ok FROM n GROUP BY i // 2""")
+
+@query(f"""WITH x AS (SELECT 'b' || doc_id // 2 AS scope_id, {_KIND} AS kind, {_AGE} AS age FROM documents)
+SELECT scope_id, count(*) AS n_docs, 14 * count(*) AS n_mentions, 5 + 4 * count(*) AS n_entities, count(*) AS n_generic, count_if(age >= 90) AS n_capped, count_if(kind = 'month') AS n_month,
+  0::BIGINT AS n_dropped, 0::BIGINT AS n_unparsed, 0::BIGINT AS n_unclassified, 0::BIGINT AS n_residual, true AS ok FROM x GROUP BY scope_id""")
 def deid_end_to_end(spark, sf_dir):
-    """Every scope keeps its mentions, has one shift and loses no weekday."""
-    _, before, out = _run(spark, sf_dir)
-    after = out.select("doc_id", "scope_id", F.posexplode("mentions").alias("ord", "m")).select("doc_id", "scope_id", "ord", "m.*").drop("start", "end")
-    return surrogates.utility(before.drop("start", "end"), after)
+    """The report of every scope: what was replaced and how, what could not be read, what was left."""
+    return _run(spark, sf_dir)[2].report
 
 
-@query("SELECT 0::BIGINT AS n_hits")
+@query("""WITH n AS (SELECT count(*) AS n FROM documents) SELECT n AS n_docs, 14 * n AS n_mentions, 14 * n AS n_kept, CAST(n + n % 2 AS BIGINT) // 2 AS n_scopes, CAST(n + n % 2 AS BIGINT) // 2 AS n_ok FROM n""")
 def residual_scan(spark, sf_dir):
-    """Original words left in the output of their scope."""
-    _, before, out = _run(spark, sf_dir)
-    return surrogates.residual_hits(before, out).agg(F.count("*").alias("n_hits"))
+    """Mentions that kept their order, type and entity in the output, and scopes with one shift, all weekdays and nothing left."""
+    _, before, run = _run(spark, sf_dir)
+    after = run.docs.select("doc_id", "scope_id", F.posexplode("mentions").alias("ord", "m")).select("doc_id", "scope_id", "ord", "m.*").drop("start", "end")
+    each = surrogates.utility(before.drop("start", "end"), after)
+    sums = each.agg(F.sum("n_mentions").alias("n_mentions"), F.sum("n_kept").alias("n_kept"), F.count("*").alias("n_scopes"), F.count_if("ok").alias("n_ok"))
+    return sums.crossJoin(run.docs.agg(F.count("*").alias("n_docs")))
+
+
+_EXEMPT = "[" + ",".join(f"'{w}'" for w in surrogates.EXEMPT) + "]"
 
 
 @query(r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS scope_id, lower(text) AS t FROM documents),
 w AS (SELECT scope_id, r, list_distinct(list_concat(
-    list_filter(string_split_regex(t, '[^\p{L}\p{N}]+'), lambda x: length(x) >= 2), regexp_extract_all(t, '([0-9]{3,})', 1))) AS ws,
+    list_filter(string_split_regex(t, '[^\p{L}\p{N}]+'), lambda x: length(x) >= 2 AND NOT list_contains(EXEMPT, x)), regexp_extract_all(t, '([0-9]{3,})', 1))) AS ws,
     list_distinct(list_concat(
-    list_filter(string_split_regex(substring(t, 1, 40), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 2), regexp_extract_all(substring(t, 1, 40), '([0-9]{3,})', 1))) AS os FROM d),
+    list_filter(string_split_regex(substring(t, 1, 40), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 2 AND NOT list_contains(EXEMPT, x)), regexp_extract_all(substring(t, 1, 40), '([0-9]{3,})', 1))) AS os FROM d),
 p AS (SELECT DISTINCT scope_id, unnest(os) AS word FROM w)
 SELECT scope_id, count(*) AS n_hits, count(DISTINCT word) AS n_words
-FROM (SELECT DISTINCT scope_id, r, unnest(ws) AS word FROM w) JOIN p USING (scope_id, word) GROUP BY scope_id""")
+FROM (SELECT DISTINCT scope_id, r, unnest(ws) AS word FROM w) JOIN p USING (scope_id, word) GROUP BY scope_id""".replace("EXEMPT", _EXEMPT))
 def residual_pieces(spark, sf_dir):
     """Pieces of originals (here the beginnings of a language's documents) in that language's texts, by language."""
     docs = _t(spark, sf_dir, "documents").select(
@@ -654,10 +749,11 @@ def residual_pieces(spark, sf_dir):
 
 @query()
 def deidentified_documents(spark, sf_dir):
-    return _run(spark, sf_dir)[2]
+    return _run(spark, sf_dir)[2].docs
 
 
-@query("SELECT unnest(['intact', 'changed text', 'lost document', 'other policy', 'damaged signature']) AS case_name, unnest(['accepted', 'root', 'documents', 'policy', 'signature']) AS verdict")
+@query("""WITH n AS (SELECT count(*) AS n FROM documents) SELECT case_name, verdict, CASE WHEN case_name = 'lost document' THEN n - 1 ELSE n END AS n_docs
+FROM n, (SELECT unnest(['intact', 'changed text', 'lost document', 'other policy', 'damaged signature']) AS case_name, unnest(['accepted', 'root', 'documents', 'policy', 'signature']) AS verdict)""")
 def verify_receipts(spark, sf_dir):
     """A signed run, and what verification says to four ways of tampering with it."""
     docs = _docs(spark, sf_dir).select("scope_id", "doc_id", "text")
@@ -670,5 +766,5 @@ def verify_receipts(spark, sf_dir):
         ("intact", receipt, docs, policy), ("changed text", receipt, changed, policy), ("lost document", receipt, docs.where(F.col("doc_id") != last), policy),
         ("other policy", receipt, docs, {"min_weeks": 5}), ("damaged signature", broken, docs, policy),
     ]
-    rows = [(name, receipts.verify_run(r, d, signer, p) or "accepted") for name, r, d, p in cases]
-    return spark.createDataFrame(rows, "case_name string, verdict string")
+    rows = [(name, receipts.verify_run(r, d, signer, p) or "accepted", d.count()) for name, r, d, p in cases]
+    return spark.createDataFrame(rows, "case_name string, verdict string, n_docs long")

@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.operators.surrogates import Policy
+
 DOCUMENT = (
     "sample_id string, bundle_id string, text string,"
     " mentions array<struct<start: long, end: long, text: string, type: string, entity_id: string>>"
@@ -21,11 +23,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = DOCUMENT) -> DataFr
 
 
 def keyed(rows: DataFrame, key: str) -> DataFrame:
-    """rows, with an error at run time if a key repeats."""
-    again = rows.groupBy(key).count().where("count > 1").limit(1).collect()
-    if again:
-        raise ValueError(f"{key} {again[0][key]!r} repeats")
-    return rows
+    """rows, with an error at run time if a key repeats; null keys may repeat."""
+    again = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_times")).where("_times > 1")
+    fault = F.raise_error(F.concat(F.lit(f"{key} repeats: "), F.col(key).cast("string"))).cast("boolean")
+    return rows.join(again, key, "left").where(F.when(F.col("_times").isNull(), True).otherwise(fault)).select(*rows.columns)
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
@@ -37,15 +38,22 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> '' and not startswith(value, '#')")
 
 
-def read_policy(path: str) -> tuple[dict, str]:
-    """(checked policy, SHA-256 of its bytes); unknown or missing keys are errors."""
+_POLICY = {"policy_id": str, "version": int, "min_weeks": int, "max_weeks": int, "direction": str, "age": str, "age_cap": int, "age_label": str, "unresolved_month": str}
+_CHOICES = {"direction": ("backward", "forward", "either"), "age": ("cap", "keep"), "unresolved_month": ("drop", "keep")}
+
+
+def read_policy(path: str) -> tuple[Policy, str]:
+    """(checked policy, SHA-256 of its bytes); unknown or missing keys and values of no meaning are errors."""
     import yaml
 
     raw = Path(path).read_bytes()
-    policy = yaml.safe_load(raw)
-    wanted = {"min_weeks": int, "max_weeks": int, "direction": int, "age_cap": int}
-    if not isinstance(policy, dict) or set(policy) != set(wanted) or any(type(policy[k]) is not t for k, t in wanted.items()):
-        raise ValueError(f"a policy has exactly the whole numbers {sorted(wanted)}")
-    if not 0 < policy["min_weeks"] <= policy["max_weeks"] or policy["direction"] not in (-1, 1):
-        raise ValueError("the shift window is empty")
-    return policy, hashlib.sha256(raw).hexdigest()
+    found = yaml.safe_load(raw)
+    if not isinstance(found, dict) or set(found) != set(_POLICY):
+        raise ValueError(f"a policy has exactly the keys {sorted(_POLICY)}")
+    if wrong := [k for k, t in _POLICY.items() if type(found[k]) is not t or found[k] == ""]:
+        raise ValueError(f"values of another type or empty: {wrong}")
+    if wrong := [k for k, values in _CHOICES.items() if found[k] not in values]:
+        raise ValueError(f"values that have no meaning: {wrong}")
+    if not 0 < found["min_weeks"] <= found["max_weeks"] or found["age_cap"] < 1 or found["version"] < 0:
+        raise ValueError("the shift window is empty, or a number is too small")
+    return Policy(**found), hashlib.sha256(raw).hexdigest()

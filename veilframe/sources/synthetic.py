@@ -1,66 +1,230 @@
-"""A seeded source of labelled documents: any number of rows from a key, in native expressions."""
+"""A seeded source of labelled documents: casts of persons and places, date chains, narratives and planned hard cases.
+
+Every draw is a keyed hash, so any row can be made again alone. Texts are built from arrays of pieces, with offsets
+counted in the row, and nothing is drawn twice for a text and its labels.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.dates import SHAPES, render_date
+from veilframe.functions import vocabulary as V
+from veilframe.functions.dates import SHAPES, parse_date, prose_interval, render_date
 from veilframe.functions.keyed import TEST_KEY, first_bits, hmac_hex
+from veilframe.functions.text import is_entity_type
+from veilframe.operators import relative
+from veilframe.operators.assign import assign
+from veilframe.operators.shared import kept
+from veilframe.operators.spans import overlaps
 
-NAMES = "Otto Berg,Ruth Castell,Ivo Demir,Nora Engel,Paul Fiala,Lena Gruber,Tom Hansen,Eva Ilic".split(",")
-CITIES = "Arnsbach Belmont Carlow Dresden Elverum Fulda".split()
-
-
-def labelled_documents(spark: SparkSession, n: int, key: bytes = TEST_KEY) -> DataFrame:
-    """(doc_id, bundle_id, text, mentions, anchor, interval_days); every draw is a keyed hash of the number."""
-    rows = spark.range(n).select(F.col("id").alias("doc_id"), hmac_hex(F.concat(F.lit("doc"), F.col("id").cast("string")), key).alias("h"))
-    draw = lambda at, size: first_bits(F.substring("h", at, 15)) % size
-    pick = lambda pool, at: F.element_at(F.array(*map(F.lit, pool)), (draw(at, len(pool)) + 1).cast("int"))
-    day = F.date_add(F.lit("2020-01-01").cast("date"), draw(1, 1500).cast("int"))
-    after = (1 + draw(9, 60)).cast("int")
-    shape = pick([s for s, _, _ in SHAPES], 17)
-    rows = rows.select(
-        "doc_id", F.concat(F.lit("b"), F.floor(F.col("doc_id") / 2).cast("string")).alias("bundle_id"),
-        pick(NAMES, 25).alias("name"), pick(CITIES, 33).alias("city"), render_date(day, shape).alias("d1"),
-        render_date(F.date_add(day, after), shape).alias("d2"), (18 + draw(41, 80)).cast("string").alias("age"),
-        F.lpad((draw(47, 9_000_000) + 1_000_000).cast("string"), 7, "0").alias("number"), day.alias("anchor"), after.alias("interval_days"),
-    )
-    parts = [
-        ("", "name", "PATIENT", "P1"), (", aged ", "age", "AGE", "P1"), (", number ", "number", "ID", "P1"), (", of ", "city", "LOCATION", "L1"),
-        (", had the first dose on ", "d1", "DATE", "D1"), (" and the event on ", "d2", "DATE", "D2"),
-    ]
-    text, spans = F.lit(""), []
-    for between, column, kind, entity in parts:
-        start = F.length(F.concat(text, F.lit(between))).cast("long")
-        spans.append(
-            F.struct(
-                start.alias("start"), (start + F.length(column)).cast("long").alias("end"), F.col(column).alias("text"), F.lit(kind).alias("type"),
-                F.when(F.lit(kind).isin("PATIENT", "LOCATION"), F.col(column)).otherwise(F.lit(entity)).alias("entity_id"),
-            )
+#: Casts that are drawn for a bundle at once; the first without a collision stands.
+ATTEMPTS = 8
+ROUNDS = 20
+#: What the hard sentence of a document holds, with weights.
+HARD_CASES = (("plain", 10), ("nickname", 2), ("misspelt", 2), ("initials", 2), ("month", 2), ("shouted", 2))
+#: Days between the dates of a chain, with weights.
+GAPS = ((7, 5), (14, 3), (28, 2))
+SITE_KINDS = (" Clinical Research Unit", " Memorial Hospital", " General")
+
+MENTION = "struct<start: bigint, end: bigint, text: string, type: string, entity_id: string>"
+
+
+def bits(text: Column, key: bytes = TEST_KEY) -> Column:
+    return first_bits(hmac_hex(text, key))
+
+
+def weighted(draw: Column, choices: tuple[tuple, ...]) -> Column:
+    """The choice that a whole number falls on: the inverse of the cumulative weights, of draw modulo their sum."""
+    u, upto, out = draw % sum(w for _, w in choices), sum(w for _, w in choices), None
+    for value, weight in reversed(choices):
+        upto -= weight
+        out = F.lit(value) if out is None else F.when(u >= upto + weight, out).otherwise(F.lit(value))
+    return out
+
+
+def date_chain(start: Column, draws: list[Column]) -> list[Column]:
+    """Days that follow one another at weighted gaps."""
+    out = [start]
+    for draw in draws:
+        out.append(F.date_add(out[-1], weighted(draw, GAPS)))
+    return out
+
+
+def _name(h: Column, at: int, pool: list[str]) -> Column:
+    """A name of the pool or, for every second draw, one of syllables."""
+    n = first_bits(F.substring(h, at, 15))
+    known = F.initcap(F.element_at(F.array(*map(F.lit, pool)), (n % len(pool) + 1).cast("int")))
+    return F.when(F.floor(n / 1024) % 2 == 0, known).otherwise(V.syllables(F.substring(h, at + 16, 8), 6))
+
+
+_FAMILIES = "Marlow Bishop Carver Dalton Everett Fletcher Garrison Hadley Ingram Jarvis Keating Lomax Mercer Newland Orwell Prescott".split()
+_TOWNS = "Alden Briar Cedar Dover Elk Fair Glen Harbor Iron Juniper Kings Laurel Maple Noble Oak Pine".split()
+
+
+def casts(bundles: DataFrame, key: bytes = TEST_KEY) -> DataFrame:
+    """bundles(bundle_id) with a cast whose words and initials are all different.
+
+    A cast has two patients (the first a woman), an investigator, a place and a site of that place. Whole casts are
+    drawn, ATTEMPTS at a time; bundles where all of them collide, ever fewer, draw again.
+    """
+    left, done = bundles.select("bundle_id").distinct().withColumn("round", F.lit(0)), None
+    for _ in range(ROUNDS):
+        tries = F.transform(
+            F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)),
+            lambda i: F.sha2(F.concat_ws("|", F.lit(key.hex()), F.lit("cast"), F.col("bundle_id"), (F.col("round") * ATTEMPTS + i).cast("string")), 512),
         )
-        text = F.concat(text, F.lit(between), F.col(column))
-    return rows.select(
-        "doc_id", "bundle_id", F.concat(text, F.lit(".")).alias("text"), F.array(*spans).alias("mentions"), "anchor", "interval_days"
+
+        def cast(h):
+            fields = {
+                "first_1": _name(h, 1, V.KNOWN_FEMALE), "last_1": _name(h, 9, _FAMILIES), "first_2": _name(h, 17, V.KNOWN_MALE), "last_2": _name(h, 25, _FAMILIES),
+                "first_3": _name(h, 33, V.KNOWN_FEMALE + V.KNOWN_MALE), "last_3": _name(h, 41, _FAMILIES),
+                "city": F.concat(_name(h, 49, _TOWNS), F.lit(" Falls")), "region": F.element_at(F.array(*map(F.lit, V.REGIONS)), (first_bits(F.substring(h, 65, 15)) % len(V.REGIONS) + 1).cast("int")),
+                "site_kind": F.element_at(F.array(*map(F.lit, SITE_KINDS)), (first_bits(F.substring(h, 81, 15)) % len(SITE_KINDS) + 1).cast("int")),
+                "site_number": (first_bits(F.substring(h, 97, 15)) % 900 + 100).cast("string"),
+            }
+            return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+        def apart(c):
+            words = F.array(*(F.lower(c[n]) for n in ("first_1", "last_1", "first_2", "last_2", "first_3", "last_3", "city")))
+            pairs = F.array(*(F.concat(F.substring(c[f"first_{i}"], 1, 1), F.substring(c[f"last_{i}"], 1, 1)) for i in (1, 2, 3)))
+            begins = F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, 3)))  # a nickname is a beginning of a name
+            return (F.size(begins) == 7) & (F.size(F.array_distinct(pairs)) == 3)
+
+        drawn = kept(left.withColumn("cast", F.try_element_at(F.filter(F.transform(tries, cast), apart), F.lit(1))), "casts")
+        good = drawn.where("cast is not null").select("bundle_id", "cast.*")
+        done = good if done is None else done.unionByName(good)
+        left = drawn.where("cast is null").select("bundle_id", (F.col("round") + 1).alias("round"))
+        if left.isEmpty():
+            return done
+    raise RuntimeError("a cast without collisions was not found")
+
+
+def cast_words(cast: DataFrame) -> DataFrame:
+    """(bundle_id, word): words and initials that a cast uses up."""
+    names = [f"{part}_{i}" for part in ("first", "last") for i in (1, 2, 3)]
+    pairs = [F.lower(F.concat(F.substring(f"first_{i}", 1, 1), F.substring(f"last_{i}", 1, 1), F.lit("|"))) for i in (1, 2, 3)]
+    words = F.flatten(F.array(F.array(*(F.lower(n) for n in names)), F.array(*pairs), F.split(F.lower("city"), " ")))
+    return cast.select("bundle_id", F.explode(words).alias("word")).distinct()
+
+
+def extended(cast: DataFrame, members: DataFrame, key: bytes = TEST_KEY) -> DataFrame:
+    """members(bundle_id, member) with first and last: further persons of existing bundles, with no word or initials of
+    the cast or of one another."""
+    items = members.select(F.col("bundle_id").alias("scope_id"), F.col("member").cast("string").alias("member")).withColumn("rank", F.col("member"))
+
+    def draw(df):
+        h = F.sha2(F.concat_ws("|", F.lit(key.hex()), F.lit("more"), "scope_id", "member", F.col("attempt").cast("string")), 256)
+        drawn = df.withColumn("h", h).withColumns({"first": _name(F.col("h"), 1, V.KNOWN_MALE), "last": V.syllables(F.substring("h", 30, 8), 7)}).drop("h")
+        pair = F.concat(F.substring("first", 1, 1), F.substring("last", 1, 1), F.lit("|"))
+        return drawn.withColumn("words", F.when(F.lower("first") != F.lower("last"), F.transform(F.array("first", "last", pair), lambda w: F.lower(w))))
+
+    taken = cast_words(cast).withColumnRenamed("bundle_id", "scope_id")
+    return assign(items, draw, taken, ["member"], "rank").select(F.col("scope_id").alias("bundle_id"), "member", "first", "last")
+
+
+def days_of(doc_id: Column, key: bytes = TEST_KEY) -> Column:
+    """The four dates of a document."""
+    draw = lambda name: bits(F.concat(F.lit(name), doc_id.cast("string")), key)
+    start = F.date_add(F.lit("2020-01-01").cast("date"), (draw("day") % 1500).cast("int"))
+    return F.array(*date_chain(start, [draw(f"gap{i}") for i in (1, 2, 3)]))
+
+
+def hard_kind(doc_id: Column, key: bytes = TEST_KEY) -> Column:
+    return weighted(bits(F.concat(F.lit("hard"), doc_id.cast("string")), key), HARD_CASES)
+
+
+def assembled(pieces: Column) -> tuple[Column, Column]:
+    """Text and mentions of an array of pieces struct(text, type, entity_id); type is null between mentions."""
+    text = F.array_join(F.transform(pieces, lambda p: p["text"]), "")
+
+    def place(state, p):
+        end = state["at"] + F.length(p["text"])
+        span = F.struct(state["at"].alias("start"), end.alias("end"), p["text"].alias("text"), p["type"].alias("type"), p["entity_id"].alias("entity_id"))
+        return F.struct(end.cast("long").alias("at"), F.when(p["type"].isNull(), state["spans"]).otherwise(F.concat(state["spans"], F.array(span))).alias("spans"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as array<{MENTION}>)").alias("spans"))
+    return text, F.aggregate(pieces, start, place)["spans"]
+
+
+def narratives(docs: DataFrame, key: bytes = TEST_KEY) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, bundle_id, text, mentions, hard_kind, days): a narrative before each text.
+
+    Two documents share a bundle and its cast; each has dates of its own, and one hard case by plan. The document's
+    own text, null being empty, follows as the last paragraph and carries no labels.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("own"), F.concat(F.lit("b"), F.floor(F.col("doc_id") / 2).cast("string")).alias("bundle_id"))
+    rows = rows.join(kept(casts(rows, key), "cast"), "bundle_id")
+    doc = lambda name: bits(F.concat(F.lit(name), F.col("doc_id").cast("string")), key)
+    rows = rows.withColumns({n: doc(n) for n in ("shape", "age", "id")}).withColumn("hard_kind", hard_kind(F.col("doc_id"), key))
+    rows = rows.withColumn("days", days_of(F.col("doc_id"), key))
+    shapes = F.array(*(F.lit(s) for s, _, _ in SHAPES))
+    rows = rows.withColumn("shape", F.element_at(shapes, (F.col("shape") % len(SHAPES) + 1).cast("int")))
+    day = {i: F.get("days", F.lit(i)) for i in range(4)}
+    rows = rows.withColumns({f"d{i}": render_date(day[i], F.col("shape")) for i in range(4)})
+    rows = rows.withColumn("distance", prose_interval(F.datediff(day[3], day[1]), day[1])).withColumn("subject", F.concat("site_number", F.lit("-"), F.lpad((F.col("id") % 10000).cast("string"), 4, "0")))
+    full = lambda i: F.concat_ws(" ", f"first_{i}", f"last_{i}")
+    initials = F.concat(F.substring("first_1", 1, 1), F.lit("."), F.substring("last_1", 1, 1), F.lit("."))
+    hard = (
+        F.when(F.col("hard_kind") == "nickname", F.substring("first_1", 1, 4)).when(F.col("hard_kind") == "misspelt", F.concat(F.lit("Mrs. "), "last_1", F.lit("e")))
+        .when(F.col("hard_kind") == "initials", initials).when(F.col("hard_kind") == "shouted", F.upper(full(1))).when(F.col("hard_kind") == "plain", F.concat(F.lit("Mrs. "), "last_1"))
+    )
+    month = F.col("hard_kind") == "month"
+
+    def mention(text, kind, entity):
+        return F.struct(text.alias("text"), F.lit(kind).cast("string").alias("type"), F.lit(entity).cast("string").alias("entity_id"))
+
+    said = lambda text: mention(F.lit(text), None, None)
+    last = F.when(month, F.struct(F.col("distance").alias("text"), F.lit("DATE").alias("type"), F.concat(F.lit("D4-"), F.col("doc_id").cast("string")).alias("entity_id"))).otherwise(
+        F.struct(hard.alias("text"), F.lit("PATIENT").alias("type"), F.lit("E1").alias("entity_id"))
     )
+    dated = lambda i: F.struct(F.col(f"d{i - 1}").alias("text"), F.lit("DATE").alias("type"), F.concat(F.lit(f"D{i}-"), F.col("doc_id").cast("string")).alias("entity_id"))
+    pieces = F.array(
+        mention(full(1), "PATIENT", "E1"), said(", aged "), mention((F.col("age") % 80 + 18).cast("string"), "AGE", "E1"), said(", of "),
+        mention(F.concat_ws(", ", "city", "region"), "LOCATION", "E4"), said(", came to "), mention(F.concat("city", "site_kind"), "SITE", "E5"), said(" on "), dated(1),
+        said(".\n\n"), mention(F.lit("The patient"), "PATIENT", "E1"), said(" (subject "), mention(F.col("subject"), "ID", "E1"), said(", "),
+        mention(F.concat(F.lit("Site "), "site_number"), "SITE", "E5"), said(") had the first dose on "), dated(2), said(" and shared a room with "),
+        mention(full(2), "PATIENT", "E2"), said(".\n\n"), mention(F.concat(F.lit("Dr. "), "last_3"), "INVESTIGATOR", "E3"), said(" saw an event on "), dated(3),
+        said(" and a visit followed on "), dated(4), said(". The note names "), last, said(".\n\n"), mention(F.col("own"), None, None),
+    )
+    rows = rows.withColumn("pieces", pieces)
+    text, mentions = assembled(F.col("pieces"))
+    return rows.select("doc_id", "bundle_id", text.alias("text"), mentions.alias("mentions"), "hard_kind", "days")
+
+
+def proved(docs: DataFrame) -> DataFrame:
+    """(doc_id, hard_kind, proved): whether the text itself holds what its plan says, beside the patient's full name."""
+    each = docs.select("doc_id", "hard_kind", "text", F.element_at("mentions", 1)["text"].alias("name"), F.element_at("mentions", -1).alias("m"))
+    shown = F.expr("substring(text, int(m.start) + 1, int(m.end - m.start))")
+    each = each.withColumn("shown", shown).withColumn("first", F.substring_index("name", " ", 1)).withColumn("last", F.substring_index("name", " ", -1))
+    each = relative.classified(each, "shown")
+    own = F.col("shown")
+    holds = (
+        F.when(F.col("hard_kind") == "plain", own == F.concat(F.lit("Mrs. "), "last")).when(F.col("hard_kind") == "nickname", F.startswith("first", own) & (F.length(own) <= 4))
+        .when(F.col("hard_kind") == "misspelt", (F.levenshtein(F.substring_index(own, " ", -1), F.col("last")) == 1))
+        .when(F.col("hard_kind") == "initials", own == F.concat(F.substring("first", 1, 1), F.lit("."), F.substring("last", 1, 1), F.lit(".")))
+        .when(F.col("hard_kind") == "month", (F.col("kind") == "prose") & F.col("month").isNotNull()).when(F.col("hard_kind") == "shouted", (own == F.upper("name")) & (own != F.col("name")))
+    )
+    return each.select("doc_id", "hard_kind", F.coalesce(holds, F.lit(False)).alias("proved"))
+
+
+def paragraph_spread(docs: DataFrame, entity: str = "E1", mark: str = "\n\n") -> DataFrame:
+    """(doc_id, n_paragraphs, n_with): paragraphs of each text, and those with a mention of an entity."""
+    before = lambda m: F.size(F.split(F.substring(F.col("text"), F.lit(1), m["start"].cast("int")), mark)) - 1
+    own = F.array_distinct(F.transform(F.filter("mentions", lambda m: m["entity_id"] == entity), before))
+    return docs.select("doc_id", F.size(F.split("text", mark)).cast("long").alias("n_paragraphs"), F.size(own).cast("long").alias("n_with"))
 
 
 def gates(docs: DataFrame) -> DataFrame:
-    """(gate, failures): offsets that miss their text, overlapping spans, unknown types, broken intervals."""
-    from veilframe.functions.dates import parse_date
-    from veilframe.functions.text import is_entity_type
-    from veilframe.operators.spans import overlaps
-
-    each = docs.select("doc_id", F.col("text").alias("whole"), "anchor", "interval_days", F.explode("mentions").alias("m")).select("*", "m.*").drop("m")
-    days = each.where("type = 'DATE'").groupBy("doc_id", "anchor", "interval_days").agg(
-        F.min(parse_date(F.col("text"))).alias("a"), F.max(parse_date(F.col("text"))).alias("b")
-    )
+    """(gate, failures) of narratives: offsets that miss their text, overlaps, unknown types, dates that are not those of
+    the chain, hard cases that the text does not hold, patients in fewer than two paragraphs."""
+    each = docs.select("doc_id", F.col("text").alias("whole"), "days", F.explode("mentions").alias("m")).select("doc_id", "whole", "days", "m.*")
+    written = each.where("type = 'DATE'").withColumn("day", parse_date(F.col("text")))
     found = {
-        "offsets": each.where("substring(whole, int(start) + 1, int(end - start)) <> text"),
-        "overlaps": overlaps(each),
-        "types": each.where(~is_entity_type(F.col("type"))),
-        "intervals": days.where((F.col("a") != F.col("anchor")) | (F.datediff("b", "a") != F.col("interval_days"))),
-    }
+        "offsets": each.where("substring(whole, int(start) + 1, int(end - start)) <> text"), "overlaps": overlaps(each), "types": each.where(~is_entity_type(F.col("type"))),
+        "dates": written.where("day is not null and not array_contains(days, day)"), "hard_cases": proved(docs).where("not proved"),
+        "paragraphs": paragraph_spread(docs).where("n_with < 2"),
+    }
     out = None
     for gate, rows in found.items():
         row = rows.agg(F.count("*").alias("failures")).select(F.lit(gate).alias("gate"), "failures")
