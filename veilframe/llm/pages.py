@@ -23,14 +23,16 @@ BROADCAST_HOSTS = 50_000
 VOTES = 3
 #: What text in a container counts for those around it, a level up.
 FADE = 0.85
+#: Share of a page's running text with which a container is taken for the one around the article, whatever its name.
+WRAPPER = 0.8
 
 # Fixed names of HTML and of parts that are no article.
 CONTAINERS = frozenset(
     "html head body main article section div nav header footer aside form ul ol dl table thead tbody tfoot tr td th"
-    " blockquote figure details fieldset noscript iframe button select label svg template dialog menu object canvas".split()
+    " blockquote figure details fieldset noscript iframe button select svg template dialog menu object canvas".split()
 )
 NOISE_TAGS = frozenset(
-    "head nav header footer aside form noscript iframe button select label svg template dialog menu object canvas".split()
+    "head nav header footer aside form noscript iframe button select svg template dialog menu object canvas".split()
 )
 RAW_TAGS = frozenset("script style title textarea xmp".split())
 BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address figcaption caption summary legend option".split())
@@ -60,15 +62,45 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+class _Paths:
+    """The different paths of a page as numbers: a path is its parent's number and a step, so deep pages stay small."""
+
+    def __init__(self):
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.steps: list[tuple[int, str]] = [(-1, "")]
+
+    def below(self, path: int, step: str) -> int:
+        found = self.numbers.setdefault((path, step), len(self.steps))
+        if found == len(self.steps):
+            self.steps.append((path, step))
+        return found
+
+    def text(self, path: int) -> str:
+        out = []
+        while path >= 0:
+            path, step = self.steps[path]
+            out.append(step)
+        return ">".join(reversed(out))
+
+    def number(self, text: str) -> int | None:
+        """The path of this text, or None where the page has none."""
+        path: int | None = 0
+        for step in text.split(">")[1:]:
+            path = self.numbers.get((path, step))
+            if path is None:
+                return None
+        return path
+
+
 class _Node:
-    __slots__ = ("path", "tag", "parent", "noise", "out", "named", "title", "body", "chars", "weight", "score", "depth")
+    __slots__ = ("path", "step", "tag", "parent", "noise", "out", "named", "title", "body", "chars", "weight", "score", "depth")
 
-    def __init__(self, tag: str, words: list[str], parent: _Node | None, out: bool = False, named: frozenset | set = frozenset()):
-        step = ".".join([tag, *sorted(set(words))[:4]])
-        if parent is None or parent.path == step or parent.path.endswith(f">{step}"):
-            self.path = step if parent is None else parent.path
+    def __init__(self, tag: str, words: list[str], parent: _Node | None, out: bool = False, named: frozenset | set = frozenset(), paths: _Paths | None = None):
+        self.step = ".".join([tag, *sorted(set(words))[:4]])
+        if parent is None:
+            self.path = 0
         else:
-            self.path = f"{parent.path}>{step}"
+            self.path = parent.path if parent.step == self.step else paths.below(parent.path, self.step)
         self.tag, self.parent = tag, parent
         # out: no article by its tag, role or being hidden; named: its class and id words that speak against it
         self.out, self.named = out or parent is not None and parent.out, named
@@ -100,9 +132,9 @@ def _attributes(raw: str) -> tuple[list[str], list[str], bool]:
     return classes, ids, out
 
 
-def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
-    """Containers, and blocks (container, text, characters that are no link) of a page in page order."""
-    root = _Node("", [], None)
+def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]], _Paths]:
+    """Containers, and blocks (container, text, characters that are no link) of a page in page order; its paths."""
+    root, paths = _Node("", [], None), _Paths()
     nodes, blocks, stack = [root], [], [root]
     pieces: list[str] = []
     linked = skip = in_link = 0
@@ -151,7 +183,7 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
             classes, ids, out = _attributes(raw) if raw else ([], [], False)
             bad = COMMENT_WORDS if name in ("article", "main") else NOISE_WORDS
             whole = name in ("html", "body")
-            node = _Node(name, classes, stack[-1], not whole and (out or name in NOISE_TAGS), set() if whole else bad & {*classes, *ids})
+            node = _Node(name, classes, stack[-1], not whole and (out or name in NOISE_TAGS), set() if whole else bad & {*classes, *ids}, paths)
             node.body = name in ("article", "main")
             nodes.append(node)
             if not raw.endswith("/"):
@@ -173,15 +205,15 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
             in_link = 0 if closing else 1
     flush()
     _judge(nodes, blocks)
-    return nodes, [b for b in blocks if not b[0].noise]
+    return nodes, [b for b in blocks if not b[0].noise], paths
 
 
 def _judge(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
     """Clear containers that only their names speak against where they hold the article.
 
-    That is one with an h1 or an article element, and over half of the page's running text; and one with
-    an h1 inside an article. Where comment words speak against it, it must hold an h1, and without one its
-    text does not count.
+    That is one with an h1 or an article element, and over half of the page's running text; one with
+    an h1 inside an article; and one with WRAPPER of the running text. Where comment words speak against it,
+    it must hold an h1, and without one its text does not count.
     """
     if not any(n.named and not n.out for n in nodes):
         return
@@ -198,7 +230,8 @@ def _judge(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
     for node in nodes[1:]:
         up = node.parent
         held = node.title or node.body and not COMMENT_WORDS & node.named
-        clear = held and node.chars > half or node.title and id(up) in inside
+        wrapper = node.chars > WRAPPER * nodes[0].chars and not COMMENT_WORDS & node.named
+        clear = wrapper or held and node.chars > half or node.title and id(up) in inside
         node.noise = up.noise or node.out or bool(node.named) and not clear
         if not node.noise and (id(up) in inside or node.tag in ("article", "main")):
             inside.add(id(node))
@@ -218,13 +251,15 @@ def score(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
 
 def votes(page: str) -> list[tuple[str, float]]:
     """(path, share) of the page's best containers."""
-    nodes, blocks = parse(page)
+    nodes, blocks, paths = parse(page)
     score(nodes, blocks)
-    best: dict[str, float] = defaultdict(float)
+    best: dict[int, float] = defaultdict(float)
     for node in nodes:
         if node.score > 0 and not node.noise:
             best[node.path] += node.score
-    top = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:VOTES]
+    least = sorted(best.values(), reverse=True)[:VOTES][-1:]
+    named = [(paths.text(path), v) for path, v in best.items() if v >= least[0]]
+    top = sorted(named, key=lambda x: (-x[1], x[0]))[:VOTES]
     total = sum(v for _, v in top)
     return [(path, value / total) for path, value in top]
 
@@ -233,8 +268,9 @@ def extract(page: str | None, path: str | None) -> str:
     """Blocks of the containers with this path, or of the page's best container, joined by line ends."""
     if not page:
         return ""
-    nodes, blocks = parse(page)
-    chosen = {id(n) for n in nodes if path and n.path == path and not n.noise}
+    nodes, blocks, paths = parse(page)
+    own = paths.number(path) if path else None
+    chosen = {id(n) for n in nodes if own is not None and n.path == own and not n.noise}
     out = _inside(nodes, blocks, chosen)
     if not out and blocks:
         score(nodes, blocks)
