@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.operators.shared import kept
+
 
 def ratio(part: Column, whole: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), 4)
@@ -47,10 +49,33 @@ def consistency(gold: DataFrame, pred: DataFrame, scope: str, span: list[str]) -
     return each.select(scope, "entity_id", verdict.alias("verdict"))
 
 
+def running(rows: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """rows with the sum of value up to each row in an order, the row's own included; order must tell rows apart.
+
+    Rows are dealt into ranges and summed within each; the ranges' totals, as many as there are partitions, are summed
+    by themselves. No task holds more than a range.
+    """
+    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).withColumn("_value", value)
+    dealt = kept(dealt, "ranges")
+    totals = dealt.groupBy("_range").agg(F.sum("_value").alias("_sum"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_at"))
+    inside = F.sum("_value").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.join(F.broadcast(starts), "_range").withColumn(name, inside + F.col("_at")).drop("_range", "_value", "_at")
+
+
+def length_batches(rows: DataFrame, length: str, key: str, size: int) -> DataFrame:
+    """rows with batch: the rows in order of length, then key, so many to a batch, so that a batch's lengths differ little.
+
+    A null length comes first; keys are different and not null."""
+    placed = running(rows.withColumn("_length", F.coalesce(F.col(length), F.lit(-1))), ["_length", key], F.lit(1), "_place")
+    return placed.withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("long")).drop("_place", "_length")
+
+
 def order_statistics(values: DataFrame, name: str) -> DataFrame:
     """n, least, upper median, 95th percentile by rank, greatest; ranks over distinct values, not rows."""
     counts = values.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).count()
-    counts = counts.withColumn("upto", F.sum("count").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    counts = running(counts, ["v"], F.col("count"), "upto")
     total = values.agg(F.count(name).alias("n"))
     pick = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v")))
     return counts.crossJoin(F.broadcast(total)).agg(

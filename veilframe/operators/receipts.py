@@ -119,6 +119,11 @@ def _read_pem(path: str) -> bytes:
     return base64.b64decode("".join(x for x in lines if x and not x.startswith("-----")))
 
 
+def public_hex_of(path: str) -> str:
+    """The raw key of a public PEM file."""
+    return _read_pem(path)[-32:].hex()
+
+
 def save_secret(secret: bytes, path: str) -> None:
     """The surrogates' secret in hex, readable by its owner only; no file is written over."""
     with os.fdopen(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "w") as file:
@@ -167,12 +172,9 @@ def verify_run(receipt: dict, docs: DataFrame, signer: Signer, policy: dict) ->
 
 def document_hash(doc_id: Column, text: Column, mentions: Column) -> Column:
     """Over a document's canonical JSON: id, text and mentions in order; a null text is not an empty one."""
-    own = F.array_sort(
-        F.transform(
-            F.coalesce(mentions, F.expr("cast(array() as array<struct<start: bigint, end: bigint, type: string, entity_id: string>>)")),
-            lambda m: F.struct(m["start"].cast("long").alias("start"), m["end"].cast("long").alias("end"), m["type"].alias("type"), m["entity_id"].alias("entity_id")),
-        )
-    )
+    span = lambda m: F.struct(m["start"].cast("long").alias("start"), m["end"].cast("long").alias("end"), m["type"].alias("type"), m["entity_id"].alias("entity_id"))
+    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint, type: string, entity_id: string>>)")
+    own = F.array_sort(F.coalesce(F.transform(mentions, span), none))
     whole = F.struct(doc_id.cast("string").alias("doc_id"), own.alias("mentions"), text.alias("text"))
     return F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}), 256)
 

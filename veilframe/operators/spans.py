@@ -82,6 +82,28 @@ def needle_hits(needles: DataFrame, docs: DataFrame) -> DataFrame:
     return counted.join(needles.select("scope_id", F.col("text").alias("word")).distinct(), ["scope_id", "word"])
 
 
+def _spelt(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def phrase_hits(needles: DataFrame, docs: DataFrame) -> DataFrame:
+    """(scope_id, doc_id, phrase, n): how often a phrase of a scope stands in its documents as whole words, in any case.
+
+    needles(scope_id, phrase), docs(scope_id, doc_id, text). A phrase meets its first word's places in an equi-join on
+    (scope, word), and its other words are compared there; what stands between words does not count. Null texts and
+    phrases without a word meet nothing.
+    """
+    sought = needles.select("scope_id", "phrase", _spelt(F.col("phrase")).alias("p")).where(F.size("p") > 0).distinct()
+    sought = sought.select("scope_id", "phrase", "p", F.get("p", F.lit(0)).alias("word"), F.size("p").alias("size"))
+    # as many words travel with a place as the longest phrase of its scope has
+    most = sought.groupBy("scope_id").agg(F.max("size").alias("most"))
+    words = docs.join(most, "scope_id").select("scope_id", "doc_id", "most", _spelt(F.col("text")).alias("w"))
+    each = words.select("scope_id", "doc_id", "most", "w", F.posexplode("w").alias("i", "word"))
+    each = each.select("scope_id", "doc_id", "word", F.slice("w", F.col("i") + 1, F.col("most")).alias("run"))
+    met = each.join(sought, ["scope_id", "word"]).where(F.slice("run", F.lit(1), F.col("size")) == F.col("p"))
+    return met.groupBy("scope_id", "doc_id", "phrase").agg(F.count("*").alias("n"))
+
+
 def uncovered(hits: DataFrame, spans: DataFrame) -> DataFrame:
     """Hits that lie in no labelled span of their document."""
     s = spans.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"))

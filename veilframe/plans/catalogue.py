@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import dates, keyed, text
 from veilframe.operators import contracts, metrics, receipts, relocate, spans, surrogates
-from veilframe.operators.shared import kept
 from veilframe.sources import synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -401,6 +400,28 @@ def length_order_stats(spark, sf_dir):
     return metrics.order_statistics(_t(spark, sf_dir, "documents"), "n_chars")
 
 
+@query("SELECT doc_id, n_chars, CAST((row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 16 AS BIGINT) AS batch FROM documents")
+def length_batches(spark, sf_dir):
+    """Documents in batches of 16 of about one length."""
+    return metrics.length_batches(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 16)
+
+
+_WORDS_OF = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+@query(f"""WITH w AS (SELECT coalesce(lang, '') AS scope_id, doc_id, {_WORDS_OF} AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT DISTINCT scope_id, array_to_string(w[1:1 + doc_id % 4], ' ') AS phrase, 1 + doc_id % 4 AS k FROM w WHERE doc_id % 20 = 3 AND len(w) > 4),
+r AS (SELECT w.scope_id, w.doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)) w WHERE i + k - 1 <= len(w))
+SELECT scope_id, phrase, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM r JOIN p USING (scope_id, k, phrase) GROUP BY scope_id, phrase""")
+def phrase_hits(spark, sf_dir):
+    """The first one to four words of some documents, as phrases, in all documents of their language."""
+    docs = _t(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("scope_id"), "doc_id", "text")
+    words = docs.where("doc_id % 20 = 3").select("scope_id", "doc_id", spans._spelt(F.col("text")).alias("w")).where(F.size("w") > 4)
+    phrases = words.select("scope_id", F.array_join(F.slice("w", F.lit(1), (F.col("doc_id") % 4 + 1).cast("int")), " ").alias("phrase"))
+    hits = spans.phrase_hits(phrases, docs)
+    return hits.groupBy("scope_id", "phrase").agg(F.countDistinct("doc_id").alias("n_docs"), F.sum("n").alias("n"))
+
+
 @query("SELECT count(*) AS n, count(DISTINCT text) AS n_distinct, count(*) - count(DISTINCT text) AS n_duplicates FROM documents")
 def duplicate_texts(spark, sf_dir):
     by = _t(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("c"))
@@ -652,7 +673,7 @@ _KIND = _weighted(_draw("hard", sum(w for _, w in synthetic.HARD_CASES)), synthe
 
 
 def _narratives(spark, sf_dir):
-    return kept(synthetic.narratives(_t(spark, sf_dir, "documents").select("doc_id", "text")), "narratives")
+    return synthetic.narratives(_t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(f"SELECT doc_id, {_KIND} AS hard_kind, CAST(DATE '2020-01-01' + CAST({_draw('day', 1500)} AS INTEGER) AS DATE) AS d1, {_GAP[1]} AS gap1, {_GAP[2]} AS gap2, {_GAP[3]} AS gap3 FROM documents")

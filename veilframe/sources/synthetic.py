@@ -189,7 +189,8 @@ def narratives(docs: DataFrame, key: bytes = TEST_KEY) -> DataFrame:
     )
     rows = rows.withColumn("pieces", pieces)
     text, mentions = assembled(F.col("pieces"))
-    return rows.select("doc_id", "bundle_id", text.alias("text"), mentions.alias("mentions"), "hard_kind", "days")
+    # a table, as its users read it several times and its expressions are long
+    return kept(rows.select("doc_id", "bundle_id", text.alias("text"), mentions.alias("mentions"), "hard_kind", "days"), "narratives")
 
 
 def proved(docs: DataFrame) -> DataFrame:
