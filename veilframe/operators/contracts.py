@@ -80,10 +80,6 @@ def read(raw: str | None, contract: str, size: int | None = None) -> tuple[list[
     return out, None
 
 
-def read_anchored(raw: str | None) -> tuple[list[dict] | None, str | None]:
-    return read(raw, "anchors")
-
-
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["mentions", "error"])
 

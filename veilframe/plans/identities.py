@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe.functions import dates, keyed
-from veilframe.functions import vocabulary as V
 from veilframe.operators import hashtree, metrics, profiles, receipts, relative, relocate, similar, spans, surrogates
 from veilframe.plans import catalogue as C
 
