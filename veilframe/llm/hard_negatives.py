@@ -315,9 +315,10 @@ def hard_negatives(
     upper = VantageTree(_augmented(sample, most), min(_depth(len(sample), 16), _depth(count, block_rows)))
     upper.spans[:, 1, 0], upper.spans[:, 0, 0], upper.spans[:, 1, 1] = upper.spans[:, 0, 1], 0, np.inf
     centres = sample[upper.centres]
-    placed = stored(
-        base.mapInArrow(tidy(_placed(width, scale, most, centres, upper)), "cell int, vec_id long, label long, anchor boolean, vector binary"), "cells"
-    )
+    with small_batches(spark, max(1, min(10_000, 4 * BLOCK_BYTES // (8 * width)))):
+        placed = stored(
+            base.mapInArrow(tidy(_placed(width, scale, most, centres, upper)), "cell int, vec_id long, label long, anchor boolean, vector binary"), "cells"
+        )
     sizes = dict(placed.groupBy("cell").count().collect())
     parts = [-(-sizes.get(c, 0) // block_rows) for c in range(2**upper.depth)]
     starts = np.concatenate(([0], np.cumsum(parts))).astype(np.int64)
