@@ -318,6 +318,45 @@ def test_forward_recursion_and_expectations_by_enumeration():
     assert np.allclose(got, counts / total)
 
 
+def plain_expectations(model, seq):
+    """Baum-Welch counts of one uncut sequence, place by place."""
+    states, n = len(model.start), len(seq)
+    ahead, back = np.zeros((n, states)), np.ones((n, states))
+    for t in range(n):
+        now = (ahead[t - 1] @ model.move if t else model.start) * model.emit[:, seq[t]]
+        ahead[t] = now / now.sum()
+    for t in range(n - 2, -1, -1):
+        now = model.move @ (model.emit[:, seq[t + 1]] * back[t + 1])
+        back[t] = now / now.sum()
+    counts = np.zeros((2 * states + 1, hmm.CLASSES))
+    for t in range(n):
+        own = ahead[t] * back[t] / (ahead[t] @ back[t])
+        counts[1 + states :, seq[t]] += own
+        if t:
+            joint = ahead[t - 1][:, None] * model.move * (model.emit[:, seq[t]] * back[t])[None, :]
+            counts[1 : 1 + states, :states] += joint / joint.sum()
+        else:
+            counts[0, :states] += own
+    return counts
+
+
+@pytest.mark.parametrize(("whole", "segment", "places"), [(1024, 256, 1 << 17), (5, 4, 64), (1, 1, 1), (40, 17, 300)])
+def test_expectations_are_those_of_uncut_sequences(monkeypatch, whole, segment, places):
+    monkeypatch.setattr(hmm, "WHOLE", whole)
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
+    monkeypatch.setattr(hmm, "PLACES", places)
+    rng = np.random.default_rng(5)
+    model = hmm.Model.first()
+    model.emit[:, ::3] *= 1e-9  # classes that hardly any state emits
+    sequences = [rng.integers(0, hmm.CLASSES, n).astype(np.uint16) for n in (1, 2, 5, 6, 17, 18, 33, 300, 1024, 1025, 1500)]
+    got = np.zeros((2 * hmm.STATES + 1, hmm.CLASSES))
+    model.expect(sequences, got)
+    assert np.allclose(got, sum(plain_expectations(model, s) for s in sequences), rtol=1e-8, atol=1e-10)
+    nothing = np.zeros_like(got)
+    model.expect([], nothing)
+    assert not nothing.any()
+
+
 def test_score_edge_cases(odd, empty):
     got = hmm.score(odd).toPandas()
     assert len(got) == odd.count() and np.isfinite(got.score).all() and (got.score < 0).all()

@@ -29,9 +29,12 @@ SHORT_CLASSES, CLASSES = 1024, 2048
 #: The class and hash of the end of a text.
 END_CLASS, END_HASH = CLASSES - 1, 0
 PASSES = 5
-#: Training sequences are cut to this length; scoring never cuts.
-SEGMENT = 256
-SEGMENTS, SCORED = 512, 256
+#: Training sequences over WHOLE go in segments side by side, with the states that the whole sequence has at each border.
+WHOLE, SEGMENT = 1024, 256
+#: Most sequences, and most places (sequences x longest), that training works through at once; sequences scored at once.
+SEGMENTS, PLACES, SCORED = 512, 1 << 17, 256
+#: Steps after which products of transfer matrices are scaled.
+SCALED = 16
 #: Words after which a block's dictionary is closed.
 BLOCK_WORDS = 2_000_000
 
@@ -104,6 +107,17 @@ def _dictionary(batches):
             )
 
 
+@dataclass
+class _Piece:
+    """A stretch of a sequence: its classes, the state distribution that enters it (before its first emission),
+    that of the place before (zeros at the begin of a sequence) and the backward state after its last place."""
+
+    seen: np.ndarray
+    enter: np.ndarray
+    last: np.ndarray
+    back: np.ndarray
+
+
 @dataclass
 class Model:
     start: np.ndarray
@@ -118,45 +132,120 @@ class Model:
         return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
     def expect(self, sequences: list[np.ndarray], into: np.ndarray) -> None:
-        """Add expected counts of class sequences to [start; moves; emissions] (2 * states + 1 rows)."""
+        """Add expected counts of whole class sequences to [start; moves; emissions] (2 * states + 1 rows).
+
+        A sequence over WHOLE is worked through in segments side by side: the products of their transfer
+        matrices carry the forward state into each segment and the backward state out of it, so the counts,
+        those of the moves across borders too, are those of the uncut sequence.
+        """
+        states = len(self.start)
+        pieces = [_Piece(s, self.start, np.zeros(states), np.ones(states)) for s in sequences if len(s) <= WHOLE]
+        pieces += self._segments([s for s in sequences if len(s) > WHOLE])
+        pieces.sort(key=lambda p: len(p.seen))
+        i = 0
+        while i < len(pieces):
+            n = min(SEGMENTS, len(pieces) - i)
+            while n > 1 and n * len(pieces[i + n - 1].seen) > PLACES:
+                n = max(1, min(n - 1, PLACES // len(pieces[i + n - 1].seen)))
+            self._expect(pieces[i : i + n], into)
+            i += n
+
+    def _segments(self, sequences: list[np.ndarray]) -> list[_Piece]:
+        """The segments of sequences, with the forward state before and the backward state after each."""
+        states, out = len(self.start), []
+        cut = [[s[i : i + SEGMENT] for i in range(0, len(s), SEGMENT)] for s in sequences]
+        flat, products = [x for own in cut for x in own], []
+        for i in range(0, len(flat), SEGMENTS):
+            products.extend(self._products(flat[i : i + SEGMENTS]))
+        for own in cut:
+            through, products = products[: len(own)], products[len(own) :]
+            pieces, enter, last = [], self.start, np.zeros(states)
+            for seen, product in zip(own, through, strict=True):
+                pieces.append(_Piece(seen, enter, last, np.ones(states)))
+                last = enter @ product
+                last = last / last.sum()
+                enter = last @ self.move
+            back = np.ones(states)
+            for piece, product in zip(reversed(pieces), reversed(through), strict=True):
+                piece.back = back
+                back = self.move @ (product @ back)
+                back = back / back.sum()
+            out += pieces
+        return out
+
+    def _products(self, group: list[np.ndarray]) -> np.ndarray:
+        """Of each segment, up to a factor: its first emissions, then each move and its emissions, as one matrix."""
+        states = len(self.start)
+        order = sorted(range(len(group)), key=lambda k: len(group[k]))
+        lengths = np.array([len(group[k]) for k in order])
+        seen = np.zeros((int(lengths[-1]), len(group)), np.int64)
+        for c, k in enumerate(order):
+            seen[: len(group[k]), c] = group[k]
+        first = np.searchsorted(lengths, np.arange(lengths[-1]), side="right").tolist()
+        moved, emits = np.ascontiguousarray(self.move.T), np.take(self.emit, seen, axis=1)
+        # state reached x state left x segment
+        out = np.eye(states)[:, :, None] * emits[:, 0][:, None, :]
+        for t in range(1, len(seen)):
+            k = first[t]
+            now = (moved @ out[:, :, k:].reshape(states, -1)).reshape(states, states, -1)
+            np.multiply(now, emits[:, t, k:][:, None, :], out=out[:, :, k:])
+            if t % SCALED == 0:
+                out[:, :, k:] /= out[:, :, k:].max(axis=(0, 1))
+        found = np.empty((len(group), states, states))
+        found[order] = (out / out.max(axis=(0, 1))).transpose(2, 1, 0)
+        return found
+
+    def _expect(self, group: list[_Piece], into: np.ndarray) -> None:
+        """expect() for pieces in the order of their lengths, which fit into PLACES.
+
+        Arrays are states x time x pieces. Both recursions are scaled every SCALED steps only; all else is
+        done for all places together.
+        """
         states = len(self.start)
-        sequences = sorted(sequences, key=len)
-        for i in range(0, len(sequences), SEGMENTS):
-            group = sequences[i : i + SEGMENTS]
-            lengths = np.array([len(s) for s in group])
-            longest = lengths[-1]
-            seen = np.zeros((longest, len(group)), np.int64)
-            live = np.arange(longest)[:, None] < lengths[None, :]
-            for k, s in enumerate(group):
-                seen[: len(s), k] = s
-            emits = self.emit.T[seen]  # time x sequences x states
-            ahead = np.empty((longest, len(group), states))
-            now = self.start * emits[0]
-            for t in range(longest):
-                if t:
-                    now = (ahead[t - 1] @ self.move) * emits[t]
-                now = now / now.sum(1, keepdims=True)
-                ahead[t] = now
-            back = np.ones((len(group), states))
-            both = np.empty_like(ahead)
-            moves = np.zeros((states, states))
-            for t in range(longest - 1, -1, -1):
-                own = ahead[t] * back
-                own /= own.sum(1, keepdims=True)
-                both[t] = own * live[t][:, None]
-                if t:
-                    onward = emits[t] * back
-                    joint = ahead[t - 1] @ self.move
-                    scale = live[t] / (joint * onward).sum(1)
-                    moves += ahead[t - 1].T @ (onward * scale[:, None])
-                    back = onward @ self.move.T
-                    back /= back.sum(1, keepdims=True)
-                    back[~live[t]] = 1
-            into[0, :states] += both[0].sum(0)
-            into[1 : states + 1, :states] += moves * self.move
-            flat = seen[live]
-            for s in range(states):
-                into[states + 1 + s] += np.bincount(flat, both[:, :, s][live], CLASSES)
+        lengths = np.array([len(p.seen) for p in group])
+        longest = int(lengths[-1])
+        seen = np.zeros((longest, len(group)), np.int64)
+        live = np.arange(longest)[:, None] < lengths[None, :]
+        for k, p in enumerate(group):
+            seen[: len(p.seen), k] = p.seen
+        # pieces end in the order of their places: those from first[t] on are still there at t
+        first = np.searchsorted(lengths, np.arange(longest), side="right").tolist()
+        enter, last, back = (np.array([getattr(p, x) for p in group]).T.copy() for x in ("enter", "last", "back"))
+        emits = np.take(self.emit, seen, axis=1)
+        ahead, own = np.zeros_like(emits), np.zeros_like(emits)
+        factor = np.ones((longest, len(group)))
+        moved = np.ascontiguousarray(self.move.T)
+        now = enter * emits[:, 0]
+        ahead[:, 0] = now
+        for t in range(1, longest):
+            k = first[t]
+            now = (moved @ ahead[:, t - 1, k:]) * emits[:, t, k:]
+            if t % SCALED == 0:
+                factor[t, k:] = now.sum(0)
+                now /= factor[t, k:]
+            ahead[:, t, k:] = now
+        for t in range(longest - 1, -1, -1):
+            k = first[t]
+            own[:, t, k:] = back[:, k:]
+            if t:
+                now = self.move @ (emits[:, t, k:] * back[:, k:])
+                if t % SCALED == 0:
+                    now /= now.sum(0)
+                back[:, k:] = now
+        emits *= own
+        own *= ahead
+        sums = own.sum(0)
+        sums[~live] = 1
+        own /= sums
+        emits *= live / (sums * factor)
+        moves = last @ emits[:, 0].T
+        for t in range(1, longest):
+            moves += ahead[:, t - 1] @ emits[:, t].T
+        into[0, :states] += own[:, 0][:, ~last.any(axis=0)].sum(1)
+        into[1 : states + 1, :states] += moves * self.move
+        flat = seen.ravel()
+        for s in range(states):
+            into[states + 1 + s] += np.bincount(flat, own[s].ravel(), CLASSES)
 
     @staticmethod
     def of_counts(counts: np.ndarray, states: int = STATES) -> Model:
@@ -198,10 +287,7 @@ def _expectation(model: Model):
         states = len(model.start)
         counts, some = np.zeros((2 * states + 1, CLASSES)), False
         for batch in batches:
-            held = []
-            for raw in batch.column("classes").to_pylist():
-                own = np.frombuffer(unpack(raw), np.uint16)
-                held += [own[i : i + SEGMENT] for i in range(0, len(own), SEGMENT)]
+            held = [np.frombuffer(unpack(raw), np.uint16) for raw in batch.column("classes").to_pylist()]
             model.expect(held, counts)
             some = some or bool(held)
         if some:
