@@ -3,7 +3,7 @@
 import pytest
 
 from tests.core.oracle import connect, rows
-from veilframe.plans import catalogue, identities  # noqa: F401
+from veilframe.plans import catalogue, identities, reporting  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -1,6 +1,7 @@
-"""Command line: python -m veilframe keygen | generate | run | verify.
+"""Command line: python -m veilframe keygen | generate | run | verify | evaluate | report.
 
 run exits with 1 where a scope was refused, verify where a check failed; what was refused is among the results.
+evaluate and report write Markdown.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.operators import receipts, relocate, surrogates
+from veilframe.functions import text as T
+from veilframe.operators import receipts, relocate, reports, surrogates
 from veilframe.sources import files, synthetic
 
 PRIVATE, PUBLIC, SECRET, RECEIPT = "signing_key.pem", "signing_key.pub", "surrogate_secret.hex", "run_receipt.json"
@@ -57,7 +59,7 @@ def run(spark: SparkSession, args) -> int:
     mentions, lost = _exploded(docs), None
     if args.predictions:
         answers = files.keyed(files.read_jsonl(spark, args.predictions, files.PREDICTION), "sample_id").withColumnRenamed("sample_id", "doc_id")
-        mentions, lost = relocate.from_predictions(docs, answers, args.contract)
+        mentions, lost = relocate.from_predictions(docs, answers, files.contract_of(spark, args.predictions, args.contract, "anchors"))
         lost = lost.join(docs.select("doc_id", "scope_id"), "doc_id", "left").select("scope_id", "doc_id", F.col("problem").alias("reason"))
         docs = docs.join(lost.select("scope_id").where("scope_id is not null").distinct(), "scope_id", "left_anti")
     done = surrogates.run(docs.select("doc_id", "scope_id", "text"), mentions, secret, policy)
@@ -89,11 +91,42 @@ def verify(spark: SparkSession, args) -> int:
     return int(fault is not None or bool(faults))
 
 
+def evaluate(spark: SparkSession, args) -> int:
+    """Predictions against a labelled corpus: scores by slice and type, entities by verdict, reasons of void outputs."""
+    docs = _documents(spark, args.corpus)
+    docs = docs.withColumn("slices", F.array(F.when(F.col("scope_id") != F.col("doc_id"), "bundle").otherwise("single")))
+    answers = files.keyed(files.read_jsonl(spark, args.predictions, files.PREDICTION), "sample_id").withColumnRenamed("sample_id", "doc_id")
+    contract = files.contract_of(spark, args.predictions, args.contract)
+    done = reports.evaluate(docs, answers, contract)
+    tables = {"Samples": done.counts(), "Spans": done.scores(), "Spans by type": done.scores("type"), "Entities": done.entities(), "Void outputs": done.reasons()}
+    reports.write_lines(spark, reports.markdown(f"Evaluation by the contract {contract}", tables), args.out)
+    whole = done.scores().where("slice = 'all'").first()
+    print(json.dumps({"contract": contract} | (whole.asDict() if whole else {})))
+    return 0
+
+
+def report(spark: SparkSession, args) -> int:
+    """What a labelled corpus holds: kinds, lengths, mentions by type, forms and mentions of its patients."""
+    docs = _documents(spark, args.corpus)
+    own = docs.select("doc_id", F.explode("mentions").alias("m")).where("m.type = 'PATIENT'").groupBy("doc_id", "m.entity_id")
+    own = own.agg(F.countDistinct(F.lower("m.text")).alias("forms"), F.count("*").alias("mentions"))
+    found = reports.tally(docs, {
+        "kind": F.when(F.col("scope_id") != F.col("doc_id"), "bundle").otherwise("single"), "words": reports.binned(T.word_count(F.col("text")), 50),
+        "mention type": F.transform("mentions", lambda m: m["type"]),
+    })
+    more = reports.tally(own, {"forms of a patient": F.col("forms"), "mentions of a patient, 12 and more together": F.least("mentions", F.lit(12))})
+    sums = docs.agg(F.count("*").alias("samples"), F.countDistinct("scope_id").alias("scopes"), (F.count("text") - F.countDistinct("text")).alias("repeated_texts"))
+    reports.write_lines(spark, reports.markdown("Corpus", {"Composition": sums, "Counts": found.unionByName(more)}), args.out)
+    print(json.dumps(sums.first().asDict()))
+    return 0
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="veilframe", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
     wanted = {
         keygen: ("keys",), generate: ("documents", "out"), run: ("corpus", "keys", "policy", "out", "receipt"), verify: ("out", "policy", "public-key", "receipt"),
+        evaluate: ("corpus", "predictions", "out"), report: ("corpus", "out"),
     }
     for function, options in wanted.items():
         command = commands.add_parser(function.__name__, help=function.__doc__)
@@ -102,7 +135,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             command.add_argument(f"--{option}", required=True)
         if function is run:
             command.add_argument("--predictions")
-            command.add_argument("--contract", choices=("anchors", "spans"), default="anchors")
+        if function in (run, evaluate):
+            command.add_argument("--contract", choices=("anchors", "spans"))
     args = parser.parse_args(argv)
     return args.function(spark or SparkSession.builder.appName("veilframe").getOrCreate(), args)
 

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.operators.contracts import CONTRACTS
 from veilframe.operators.surrogates import Policy
 
 DOCUMENT = (
@@ -15,6 +16,7 @@ DOCUMENT = (
     " mentions array<struct<start: long, end: long, text: string, type: string, entity_id: string>>"
 )
 PREDICTION = "sample_id string, raw_output string, finished boolean"
+TRAINING = "sample_id string, instruction_version string, instruction string, input string, output string"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = DOCUMENT) -> DataFrame:
@@ -38,6 +40,49 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> '' and not startswith(value, '#')")
 
 
+def training_problems(rows: DataFrame, version: str) -> DataFrame:
+    """(problem, n, first_id) of rows by TRAINING: missing_key (a null in any), other_version, other_instruction.
+
+    The instruction is the most frequent one, of equally frequent ones the least. A row has its first problem only.
+    """
+    names = [f.split()[0] for f in TRAINING.split(", ")]
+    usual = rows.where("instruction is not null").groupBy("instruction").count().agg(F.min(F.struct((-F.col("count")).alias("n"), "instruction")).alias("u")).select(F.col("u.instruction").alias("_usual"))
+    each = rows.crossJoin(F.broadcast(usual))  # one row
+    missing = F.lit(False)
+    for name in names:
+        missing = missing | F.col(name).isNull()
+    problem = F.when(missing, "missing_key").when(F.col("instruction_version") != version, "other_version").when(F.col("instruction") != F.col("_usual"), "other_instruction")
+    each = each.withColumn("problem", problem).where("problem is not null")
+    return each.groupBy("problem").agg(F.count("*").alias("n"), F.min("sample_id").alias("first_id"))
+
+
+def read_training(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """Training rows of one version and instruction; an empty file, or any row with a problem, is an error."""
+    rows = read_jsonl(spark, path, TRAINING)
+    if rows.isEmpty():
+        raise ValueError(f"{path} has no rows")
+    found = [f"{r['problem']}: {r['n']} rows, {r['first_id']} the first" for r in training_problems(rows, version).orderBy("problem").collect()]
+    if found:
+        raise ValueError(f"{path}: {'; '.join(found)}")
+    return rows
+
+
+def contract_of(spark: SparkSession, predictions: str, given: str | None = None, default: str | None = None) -> str:
+    """The contract of a file of predictions: the given one, else that in <predictions>.manifest.json, else the default."""
+    if given:
+        return given
+    told = None
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{predictions.rstrip('/')}.manifest.json")
+    if beside.getFileSystem(spark._jsc.hadoopConfiguration()).exists(beside):
+        told = spark.read.schema("contract string").option("multiLine", True).json(beside.toString()).first()
+    named = (told and told["contract"]) or default
+    if named is None:
+        raise ValueError(f"no contract is given, and {beside.toString()} names none")
+    if named not in CONTRACTS:
+        raise ValueError(f"{beside.toString()} names an unknown contract: {named}")
+    return named
+
+
 _POLICY = {"policy_id": str, "version": int, "min_weeks": int, "max_weeks": int, "direction": str, "age": str, "age_cap": int, "age_label": str, "unresolved_month": str}
 _CHOICES = {"direction": ("backward", "forward", "either"), "age": ("cap", "keep"), "unresolved_month": ("drop", "keep")}
 
