@@ -1,13 +1,14 @@
 """Reports, evaluations by both contracts, training rows, manifests, differences of runs."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.core.test_command_line import made  # noqa: F401
 from veilframe.operators import reports
-from veilframe.sources import files
+from veilframe.sources import corpus_plan, files
 
 MENTIONS = "mentions array<struct<start: long, end: long, type: string, entity_id: string>>"
 
@@ -101,3 +102,22 @@ def test_evaluate_and_report_from_files(spark, made, capsys):  # noqa: F811
     (folder / "answers.manifest.json").write_text(json.dumps({"contract": "v9"}))
     with pytest.raises(ValueError, match="unknown contract"):
         call("evaluate", corpus="corpus", predictions="answers", out="again")
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 137])
+def test_plans_keep_shares_pairs_and_rotations(spark, n):
+    rows = sorted(corpus_plan.plan(spark.range(n), "id").collect(), key=lambda r: r.doc_index)
+    assert [r.doc_index for r in rows] == list(range(n)) and sorted(r.id for r in rows) == list(range(n))
+    by = Counter(r.slice for r in rows)
+    assert by["bundle_narrative"] == by["bundle_listing"] and all(abs(by[s] - n * share / 100) < 2 for s, share in corpus_plan.SHARES if s != "bundle")
+    for a, b in zip(rows, rows[1:]):
+        if a.slice == "bundle_narrative":
+            assert (b.slice, b.bundle_no, b.n_patients) == ("bundle_listing", a.bundle_no, a.n_patients)
+    seen = Counter()
+    for r in rows:
+        assert r.template_hint == seen[r.slice, r.n_patients] and (r.listing_rows > 0) == r.slice.endswith("listing")
+        seen[r.slice, r.n_patients] += 1
+    wanted = corpus_plan.hard_counts(n)
+    assert sum(wanted.values()) == round(n * 0.1)
+    for s, most in wanted.items():
+        assert sum(r.slice == s and r.hard_kind is not None for r in rows) == min(most, by[s])

@@ -8,7 +8,7 @@ from veilframe.functions import text as T
 from veilframe.operators import metrics, reports, spans
 from veilframe.plans import catalogue as C
 from veilframe.plans import identities as I
-from veilframe.sources import files
+from veilframe.sources import corpus_plan, files
 
 query = C.query
 
@@ -130,3 +130,39 @@ SELECT (SELECT count(*) FROM documents) AS n_leaves, sha256(string_agg(node || '
 def run_digest(spark, sf_dir):
     """One digest of a run's outputs, whatever their order."""
     return reports.run_digest(C._t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_output")), 2)
+
+
+# The plan of a corpus
+
+
+def _of(name: str, column: str) -> str:
+    return C._bits(C._hmac(f"'{name}' || {column}"))
+
+
+def _turn(cycle) -> str:
+    return f"[{', '.join(map(repr, cycle))}][nth % {len(cycle)} + 1]"
+
+
+_SHARES = ", ".join(f"({i}, '{name}', {share})" for i, (name, share) in enumerate(corpus_plan.SHARES))
+_WANTED = {name: f"hard * {part} // 100" for name, part in corpus_plan.HARD_PARTS}
+_WANTED["bundle_listing"] = "hard - " + " - ".join(f"({x})" for x in _WANTED.values())
+_HARD_SQL = " ".join(f"WHEN slice = '{name}' AND nth < {_WANTED[name]} THEN {_turn(cycle)}" for name, cycle in corpus_plan.CYCLES.items())
+
+
+@query(f"""WITH t AS (SELECT count(*) AS n, CAST(round_even(count(*) * {corpus_plan.HARD_SHARE} / 100, 0) AS BIGINT) AS hard FROM documents),
+s AS (SELECT i, name, n * share // 100 AS base, n * share % 100 AS rest, n, share FROM t, (VALUES {_SHARES}) v(i, name, share)),
+b AS (SELECT i, name, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, i) <= n - sum(base) OVER () THEN 1 ELSE 0 END AS c FROM s),
+o AS (SELECT i, name, CASE name WHEN 'bundle' THEN c - c % 2 WHEN 'single' THEN c + (SELECT c % 2 FROM b WHERE name = 'bundle') ELSE c END AS c FROM b),
+r AS (SELECT name AS kind, CAST(sum(c) OVER (ORDER BY i) - c AS BIGINT) AS low, CAST(sum(c) OVER (ORDER BY i) AS BIGINT) AS high FROM o),
+k AS (SELECT doc_id AS id, row_number() OVER (ORDER BY {C._hmac("'slot' || doc_id")}) - 1 AS slot FROM documents),
+e AS (SELECT id, slot, kind, CASE WHEN kind = 'bundle' THEN (slot - low) // 2 END AS bundle_no, CASE WHEN kind <> 'bundle' THEN kind WHEN (slot - low) % 2 = 1 THEN 'bundle_listing' ELSE 'bundle_narrative' END AS slice,
+  CASE WHEN kind = 'bundle' THEN (slot - low) // 2 ELSE slot - low END AS nth FROM k JOIN r ON slot >= low AND slot < high),
+p AS (SELECT *, CAST(CASE kind WHEN 'single' THEN 1 WHEN 'multi' THEN CASE WHEN {_of('three', 'slot')} % 100 < {corpus_plan.THREE_SHARE} THEN 3 ELSE 2 END
+  WHEN 'bundle' THEN CASE WHEN {_of('two', 'bundle_no')} % 100 < 30 THEN 2 ELSE 1 END ELSE 0 END AS BIGINT) AS n_patients FROM e),
+x AS (SELECT p.*, CAST(CASE WHEN kind = 'listing' THEN 5 + {_of('rows', 'slot')} % 16 WHEN slice = 'bundle_listing' THEN n_patients + 4 + {_of('rows', 'slot')} % 9 ELSE 0 END AS BIGINT) AS listing_rows,
+  CASE {_HARD_SQL} END AS hard_kind, row_number() OVER (ORDER BY CASE WHEN kind = 'bundle' THEN {C._hmac("'pair' || bundle_no")} ELSE {C._hmac("'unit' || slot")} END, slot) - 1 AS doc_index FROM p, t)
+SELECT id, slice, n_patients, 'b' || bundle_no AS bundle_id, listing_rows, hard_kind, doc_index, row_number() OVER (PARTITION BY slice, n_patients ORDER BY doc_index) - 1 AS template_hint FROM x""")
+def sample_plan(spark, sf_dir):
+    """The plan of a corpus with as many samples as there are documents."""
+    plan = corpus_plan.plan(C._t(spark, sf_dir, "documents"), "doc_id")
+    return plan.withColumn("bundle_no", F.concat(F.lit("b"), F.col("bundle_no").cast("string"))).withColumnRenamed("bundle_no", "bundle_id")
