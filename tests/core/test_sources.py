@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.functions import keyed
+from veilframe.functions import keyed, vocabulary
 from veilframe.functions import text as T
 from veilframe.operators import surrogates
 from veilframe.sources import files, synthetic
@@ -125,3 +125,15 @@ def test_a_stream_is_deidentified_as_a_batch(spark, tmp_path):
     marks = scoped.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.*").drop("text")
     want = surrogates.deidentify(scoped.select("doc_id", "scope_id", "text"), marks, b"a secret of tests").collect()
     assert got == {r.doc_id: r.text for r in want} and len(got) == 6
+
+
+def test_nothing_that_tells_a_cast_stands_in_its_texts(spark):
+    """Texts full of the pools' words and of all numbers of three digits: the casts of their bundles are others."""
+    every = " ".join([*vocabulary.KNOWN_FEMALE, *vocabulary.REGIONS, "Falls Dosesa Nomere", *map(str, range(100, 1000))])
+    docs = synthetic.narratives(spark.createDataFrame([(0, every), (1, None), (3668, "a"), (3669, "in 473 ways")], "doc_id long, text string"))
+    assert docs.where(F.size("mentions") == 14).count() == 4
+    assert {r.gate: r.failures for r in synthetic.gates(docs).collect() if r.failures} == {}
+    scoped = docs.withColumn("scope_id", F.col("bundle_id"))
+    before = scoped.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.start", "m.end", "m.type", "m.entity_id")
+    report = surrogates.run(scoped.select("doc_id", "scope_id", "text"), before, b"secret").report.collect()
+    assert [(r.n_docs, r.n_residual, r.ok) for r in report] == [(2, 0, True)] * 2
