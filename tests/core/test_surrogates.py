@@ -37,3 +37,8 @@ def test_the_residual_scan_finds_planted_survivors(spark):
     got = {tuple(r) for r in surrogates.residual_hits(before, after).collect()}
     assert got == {(1, 1, "otto"), (1, 1, "berg"), (1, 1, "li"), (1, 1, "wu"), (1, 2, "4711"), (2, 4, "gotha")}
     assert surrogates.residual_hits(before.limit(0), after).count() == 0
+    # without exempt words every word of an original counts
+    mine = spark.createDataFrame([(1, "General Hospital of Gotha", "SITE")], before.schema)
+    there = spark.createDataFrame([(1, 1, "the hospital, of course")], after.schema)
+    assert surrogates.residual_hits(mine, there).count() == 0
+    assert {r.word for r in surrogates.residual_hits(mine, there, exempt=()).collect()} == {"hospital", "of"}
