@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from veilframe.operators import contracts, metrics
+from veilframe.operators.shared import pinned
 
 _SPAN = "struct<start: bigint, end: bigint, text: string, type: string, entity_id: string>"
 
@@ -35,7 +36,7 @@ def located(docs: DataFrame, anchored: DataFrame) -> DataFrame:
     moved to no other place. A row of anchored without its document, or with a null text, locates nothing.
     """
     each = anchored.select("doc_id", "mentions").join(docs.select("doc_id", "text"), "doc_id", "left")
-    each = each.withColumn("needles", F.array_distinct(F.transform("mentions", lambda m: m["text"])))
+    each = pinned(each.withColumn("needles", F.array_distinct(F.transform("mentions", lambda m: m["text"]))))
     each = each.withColumn("index", occurrences("text", "needles"))
     starts = lambda m: F.get("index", F.array_position("needles", m["text"]).cast("int") - 1)
     placed = F.transform("mentions", lambda m: F.struct(m.alias("m"), F.get(starts(m), (m["n"] - 1).cast("int")).alias("at")))
@@ -97,7 +98,7 @@ def ordered(records: DataFrame) -> DataFrame:
     no_text, empty_mention, count_changed (a mention's text occurs more or less often than before) or not_found.
     """
     sorted_ms = F.array_sort(F.transform("mentions", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), m["type"].alias("type"), m["entity_id"].alias("entity_id"))))
-    each = records.withColumn("_ms", sorted_ms)
+    each = pinned(records.withColumn("_ms", sorted_ms))
     needles = F.array_distinct(F.transform("_ms", lambda m: m["text"]))
     changed = F.exists(needles, lambda n: _count(F.col("text"), n) != _count(F.col("new_text"), n))
     early = (
