@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilframe.operators import contracts, hashtree, metrics, relocate
-from veilframe.operators.shared import kept
+from veilframe.operators.shared import kept, small_batches
 
 #: Failures that a report shows of each gate.
 SHOWN = 50
+#: Outputs that are read in Python at once: a mention takes some 1000 times its length there.
+OUTPUTS = 256
 _SPAN = ["doc_id", "start", "end", "type"]
 
 
@@ -84,6 +86,11 @@ def evaluate(docs: DataFrame, predictions: DataFrame, contract: str) -> Evaluati
     whatever its slices (null: none). Only finished = false is unfinished. Predictions of unknown documents, null ids
     included, are an error; doc_ids of either side are different.
     """
+    with small_batches(docs.sparkSession, OUTPUTS):
+        return _evaluated(docs, predictions, contract)
+
+
+def _evaluated(docs: DataFrame, predictions: DataFrame, contract: str) -> Evaluation:
     stray = predictions.select("doc_id").join(docs.select("doc_id"), "doc_id", "left_anti").limit(1).collect()
     if stray:
         raise ValueError(f"a prediction of an unknown document: {stray[0]['doc_id']}")

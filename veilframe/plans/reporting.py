@@ -57,14 +57,10 @@ o AS (SELECT coalesce(g.doc_id, l.doc_id) AS doc_id, coalesce(g.type, l.type) AS
 
 
 def _evaluation(spark, sf_dir):
-    docs, m, anchors = I._anchored(spark, sf_dir)
+    anchors = I._anchored(spark, sf_dir)[2]
     k = F.col("doc_id") % 10
-    raw = F.to_json(F.struct("mentions"))
-    answers = docs.select("doc_id").where(k != 7).join(anchors, "doc_id", "left")
-    answers = answers.withColumn("raw_output", F.when(k == 3, F.lit('{"mentions":[')).when(F.col("mentions").isNull(), '{"mentions":[]}').otherwise(raw))
-    lists = m.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "type", "entity_id")).alias("mentions"))
-    sources = C._t(spark, sf_dir, "documents").select("doc_id", F.array("source").alias("slices"))
-    gold = docs.join(lists, "doc_id", "left").join(sources, "doc_id")
+    answers = anchors.where(k != 7).withColumn("raw_output", F.when(k == 3, F.lit('{"mentions":[')).otherwise(F.to_json(F.struct("mentions"))))
+    gold = C._t(spark, sf_dir, "documents").select("doc_id", "text", spans.listed("text").alias("mentions"), F.array("source").alias("slices"))
     return reports.evaluate(gold, answers.select("doc_id", "raw_output", (k != 9).alias("finished")), "anchors")
 
 
