@@ -13,7 +13,7 @@ def test_tables_are_written_with_small_broadcasts_only(spark):
     few = shared.kept(spark.range(10), "few")
 
     def plan(right):
-        return spark.range(100000).join(right, "id")._jdf.queryExecution().executedPlan().toString()
+        return spark.range(1 << 20).join(right, "id")._jdf.queryExecution().executedPlan().toString()
 
     assert "BroadcastHashJoin" in plan(side)
     with shared.small_broadcasts(spark):
