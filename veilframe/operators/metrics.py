@@ -31,21 +31,36 @@ def scores(outcomes: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def consistency(gold: DataFrame, pred: DataFrame, scope: str, span: list[str]) -> DataFrame:
+#: Rows that one task groups where a number of partitions follows from a table's rows.
+TASK_ROWS = 200_000
+
+
+def parts_for(rows: int) -> int:
+    """Partitions for so many rows: what a task holds does not grow with the table."""
+    return 1 + rows // TASK_ROWS
+
+
+def consistency(gold: DataFrame, pred: DataFrame, scope: str, span: list[str], parts: int | None = None) -> DataFrame:
     """(scope, entity_id, verdict): incomplete, split, merged or consistent, the first that holds.
 
-    gold(scope, span..., entity_id), pred(scope, span..., id); of repeated predicted spans the least id counts.
+    gold(scope, span..., entity_id), pred(scope, span..., id); of repeated predicted spans the least id counts. Both are
+    dealt by scope once, into so many parts; all that follows is sorted within a part and keeps no list or set.
     """
-    p = pred.groupBy(scope, *span).agg(F.min("id").alias("id"))
-    met = gold.join(p, [scope, *span], "left")
-    owners = met.where("id is not null").groupBy(scope, "id").agg(F.countDistinct("entity_id").alias("owners"))
-    each = met.join(owners, [scope, "id"], "left").groupBy(scope, "entity_id").agg(
-        F.count_if(F.col("id").isNull()).alias("missing"), F.countDistinct("id").alias("ids"), F.max("owners").alias("owners")
+    no = lambda df, name: F.lit(None).cast(df.schema[name].dataType).alias(name)
+    both = gold.select(scope, *span, "entity_id", no(pred, "id"), F.lit(True).alias("_gold"))
+    both = both.unionByName(pred.select(scope, *span, no(gold, "entity_id"), "id", F.lit(False).alias("_gold")))
+    both = both.repartition(parts, scope) if parts else both.repartition(scope)
+    # a null in a span or scope meets nothing
+    known = F.lit(True)
+    for c in (scope, *span):
+        known = known & F.col(c).isNotNull()
+    met = both.withColumn("id", F.when(known, F.min("id").over(Window.partitionBy(scope, *span)))).where("_gold")
+    of_id = Window.partitionBy(scope, "id")
+    met = met.withColumn("_merged", F.col("id").isNotNull() & (F.min("entity_id").over(of_id) != F.max("entity_id").over(of_id)))
+    each = met.groupBy(scope, "entity_id").agg(
+        F.bool_or(F.col("id").isNull()).alias("missing"), (F.min("id") != F.max("id")).alias("split"), F.bool_or("_merged").alias("merged")
     )
-    verdict = (
-        F.when(F.col("missing") > 0, "incomplete").when(F.col("ids") > 1, "split").when(F.col("owners") > 1, "merged")
-        .otherwise("consistent")
-    )
+    verdict = F.when(F.col("missing"), "incomplete").when(F.col("split"), "split").when(F.col("merged"), "merged").otherwise("consistent")
     return each.select(scope, "entity_id", verdict.alias("verdict"))
 
 
