@@ -2,6 +2,7 @@
 
 import random
 
+from veilframe.operators import profiles
 from veilframe.operators.similar import LONGEST, near
 
 
@@ -34,3 +35,14 @@ def test_long_words_meet_the_words_near_them(spark):
         want = {(a, b) for a in words for b in words if abs(len(a) - len(b)) <= 2 and distance(a, b) <= most}
         assert len(got) == len(set(got)) and set(got) == want
     assert any(len(a) > LONGEST and len(b) <= LONGEST for a, b in want)
+
+
+def test_a_long_lone_name_belongs_where_the_name_near_it_does(spark):
+    """The word's beginning differs, so that only its distance tells that it is the first name."""
+    first = "wolfeschlegelsteinhausenbergerdorff"
+    lone = "v" + first[1:-1]
+    forms = spark.createDataFrame(
+        [("s", "E1", f"{first.title()} Marlow", 2), ("s", "E1", lone.title(), 1)], "scope_id string, who string, old string, n int"
+    ).selectExpr("*", "'PATIENT' as type")
+    got = {(r.word, r.place) for r in profiles.name_words(forms).collect()}
+    assert got == {(first, "first"), ("marlow", "last"), (lone, "first")}
