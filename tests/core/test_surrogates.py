@@ -42,3 +42,21 @@ def test_the_residual_scan_finds_planted_survivors(spark):
     there = spark.createDataFrame([(1, 1, "the hospital, of course")], after.schema)
     assert surrogates.residual_hits(mine, there).count() == 0
     assert {r.word for r in surrogates.residual_hits(mine, there, exempt=()).collect()} == {"hospital", "of"}
+
+
+def test_the_residual_scan_makes_no_row_of_each_word(spark, monkeypatch):
+    """Small scopes find in their rows what the equi-join finds; a scope may be of either kind, and both give all hits."""
+    names = [f"w{k % 7}x{k}" for k in range(40)]
+    before = [(k % 3, names[k], "SITE") for k in range(40)] + [(3, "li 123", "ID")]
+    after = [(s, 10 * s + d, " ".join(names[d :: s + 2]) + " W1X1y li, code 1234 and 123") for s in range(5) for d in range(4)]
+    before = spark.createDataFrame(before, "scope_id long, text string, type string")
+    after = spark.createDataFrame(after + after[:2], "scope_id long, doc_id long, text string")
+    every, plans = [], []
+    for size in (0, 5, 256):
+        monkeypatch.setattr(surrogates, "IN_ROW", size)
+        hits = surrogates.residual_hits(before, after)
+        plans.append(hits._jdf.queryExecution().executedPlan().toString())
+        every.append(sorted(map(tuple, hits.collect())))
+    assert every[0] == every[1] == every[2] and len(every[0]) == len(set(every[0])) > 40
+    assert {r for r in every[0] if r[0] == 3} == {(3, 30 + d, w) for d in range(4) for w in ("li", "123")}
+    assert "array_intersect" not in plans[0] and "array_intersect" in plans[2]
